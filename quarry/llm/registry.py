@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quarry.llm import toxicity
+from quarry.llm import line_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
-    return {"op1_toxicity": toxicity.op1_toxicity}
+    return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_url_filter": url_filter.op5_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": line_dedup.OP4_SQL, "op5_url_filter": url_filter.OP5_SQL}
