@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import line_dedup, toxicity, url_filter
+from quarry.llm import line_dedup, mixing, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op8_mixing": mixing.op8_mixing,
     }
 
 
