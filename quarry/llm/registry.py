@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from quarry.llm import line_dedup, mixing, toxicity, url_filter
+from collections.abc import Callable
+
+from quarry.llm import common, language_model, line_dedup, mixing, token_count, toxicity, url_filter
+
+_QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_lm_score": language_model.op9_lm_score,
+    "op10_token_count": token_count.op10_token_count,
+}
+_SQL = {"op4_line_dedup": line_dedup.OP4_SQL, "op5_url_filter": url_filter.OP5_SQL}
+
+
+def _shipped(query: Callable) -> Callable:
+    def run(spark, sf_dir):
+        common.ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
-        "op1_toxicity": toxicity.op1_toxicity,
-        "op4_line_dedup": line_dedup.op4_line_dedup,
-        "op5_url_filter": url_filter.op5_url_filter,
-        "op8_mixing": mixing.op8_mixing,
-    }
+    return {name: _shipped(query) for name, query in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.OP4_SQL, "op5_url_filter": url_filter.OP5_SQL}
+    return dict(_SQL)
