@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quarry.llm import common, language_model, line_dedup, mixing, token_count, toxicity, url_filter
+from quarry.llm import common, decontamination, language_model, line_dedup, mixing, token_count, toxicity, url_filter
 
 _QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op8_mixing": mixing.op8_mixing,
     "op9_lm_score": language_model.op9_lm_score,
     "op10_token_count": token_count.op10_token_count,
 }
-_SQL = {"op4_line_dedup": line_dedup.OP4_SQL, "op5_url_filter": url_filter.OP5_SQL}
+_SQL = {"op3_decontamination": decontamination.OP3_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op5_url_filter": url_filter.OP5_SQL}
 
 
 def _shipped(query: Callable) -> Callable:
