@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quarry.llm import common, decontamination, language_model, line_dedup, mixing, token_count, toxicity, url_filter
+from quarry.llm import common, decontamination, language_model, line_dedup, mixing, near_dedup, pii, token_count, toxicity, url_filter
 
 _QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_pii": pii.op6_pii,
     "op8_mixing": mixing.op8_mixing,
     "op9_lm_score": language_model.op9_lm_score,
     "op10_token_count": token_count.op10_token_count,
