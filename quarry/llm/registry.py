@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quarry.llm import common, decontamination, language_model, line_dedup, mixing, near_dedup, pii, token_count, toxicity, url_filter
+import corpus_pipeline
+from quarry.llm import common, decontamination, language_model, line_dedup, mixing, near_dedup, pii, token_count, toxicity, url_filter, vector_search
 
 _QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,9 +14,11 @@ _QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_pii": pii.op6_pii,
+    "op7_vector_search": vector_search.op7_vector_search,
     "op8_mixing": mixing.op8_mixing,
     "op9_lm_score": language_model.op9_lm_score,
     "op10_token_count": token_count.op10_token_count,
+    "pipeline": corpus_pipeline.run,
 }
 _SQL = {"op3_decontamination": decontamination.OP3_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op5_url_filter": url_filter.OP5_SQL}
 
