@@ -1,0 +1,87 @@
+"""Attributions from XML and HTML texts: layout, lines, pattern priorities with a guard, and outcome phrases.
+
+All row-local: lines are arrays, markers are positions in them, and the pick is the least of an array of structs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quarry.functions.exprs import first_match, flat, strip_tags
+
+NAME = r"([A-Z][A-Za-z.'\-]+(?: [A-Z][A-Za-z.'\-]+){0,4})"
+TITLE = r"(?:Chief |Senior )?(?:Circuit|District) Judge"
+# Name, priority and scope of the patterns, in the order in which they win.
+PATTERNS = (
+    ("opinion_by_judge", 10, "any", rf"(?i:opinion by (?:chief )?judge) {NAME}"),
+    ("opinion_by_name_title", 20, "any", rf"(?i:opinion by) {NAME}, {TITLE}"),
+    ("delivered", 30, "any", rf"(?i:judge) {NAME} (?i:delivered the opinion)"),
+    ("name_title_line", 40, "guarded", rf"^\s*{NAME}, {TITLE}[.:]?\s*$"),
+    ("name_circuit_line", 41, "guarded", rf"^\s*{NAME}, Circuit Judge[.:]?"),
+    ("per_name_line", 50, "guarded", rf"^\s*(?i:per) {NAME}[.:]?\s*$"),
+)
+GUARD, GUARD_LINES = r"(?i)^\s*before:?\s", 5
+REJECT = r"(?i)\band\b|;|\bpanel\b|\bcuriam\b|\bcourt\b|\bunited states\b"
+
+
+def layout(html: Column) -> Column:
+    return (
+        F.when(html.rlike(r"(?i)<opinion\b|<author\b|class=\"harvard"), "structured").when(html.rlike(r"(?i)<\?xml"), "xml_inline")
+        .when(html.rlike(r"(?i)<pre[^>]*class=\"inline"), "pre_inline").when(html.rlike(r"<[a-zA-Z]"), "plain_html").otherwise("text")
+    )
+
+
+def lines(text: Column, most: int = 8000) -> Column:
+    return F.split(F.left(strip_tags(text), F.lit(most)), "\n")
+
+
+def xml_author(text: Column) -> Column:
+    """The author tag's content, without markup, blanks around it and leading digits; null without a tag."""
+    inner = first_match(text, r"(?is)<author[^>]*>(.*)</author>")
+    clean = F.regexp_replace(flat(strip_tags(inner)), r"^\d+\s*", "")
+    return F.when(clean != "", clean)
+
+
+def xml_name(author: Column) -> Column:
+    """The name before a title; null for procedural phrases."""
+    named = first_match(author, rf"^{NAME},? (?:Chief |Senior )?(?:Circuit |District )?(?:Judge|JUDGE|Justice|JUSTICE)")
+    plain = F.when(F.length(author).between(3, 80) & ~author.rlike(r"[\d;:]"), author)
+    return F.when(~author.rlike(r"(?i)per curiam|court|order|memorandum|before|panel|appeal|opinion|unpublished|en banc"), F.coalesce(named, F.regexp_replace(plain, r",.*$", "")))
+
+
+def find_author(df: DataFrame, text: str) -> DataFrame:
+    """df with author_name, author_pattern, author_line: the candidate of the least priority, then the least line.
+
+    A guarded pattern holds only on lines with no "Before:" line in the GUARD_LINES lines up to it.
+    """
+    all_lines = lines(F.col(text))
+    numbered = F.transform(F.col("_lines"), lambda x, i: F.struct(i.alias("n"), x.alias("x")))
+    guards = F.transform(F.filter(numbered, lambda r: r["x"].rlike(GUARD)), lambda r: r["n"])
+
+    def of(name: str, priority: int, scope: str, pattern: str) -> Column:
+        hit = lambda r: r["x"].rlike(pattern)
+        if scope == "guarded":
+            hit = lambda r: r["x"].rlike(pattern) & ~F.exists("_guards", lambda g: (g <= r["n"]) & (r["n"] - g <= GUARD_LINES))
+        return F.transform(F.filter(numbered, hit), lambda r: F.struct(F.lit(priority).alias("priority"), (r["n"] + 1).alias("line"), F.regexp_extract(r["x"], pattern, 1).alias("name"), F.lit(name).alias("pattern")))
+
+    found = F.flatten(F.array(*[of(*p) for p in PATTERNS]))
+    good = F.filter(found, lambda r: F.length(r["name"]).between(3, 80) & ~r["name"].rlike(REJECT))
+    out = df.withColumn("_lines", all_lines).withColumn("_guards", guards).withColumn("_best", F.array_min(good))
+    return out.select(*df.columns, F.col("_best.name").alias("author_name"), F.col("_best.pattern").alias("author_pattern"), F.col("_best.line").alias("author_line"))
+
+
+def outcome(text: Column, last: int = 3000) -> Column:
+    """The outcome that the ending of a text states."""
+    end = F.lower(flat(F.right(text, F.lit(last))))
+    says = lambda *p: end.rlike("|".join(p))
+    affirm = says(r"\b(?:we|is|are|therefore|judgment) (?:\w+ ){0,4}affirm", r"\baffirmed\b")
+    reverse = says(r"\b(?:we|is|are|judgment) (?:\w+ ){0,4}(?:reverse|vacate)", r"\b(?:reversed|vacated)\b")
+    return (
+        F.when(affirm & reverse, "mixed").when(affirm, "affirmed").when(reverse, "reversed").when(says(r"\bremanded?\b"), "remanded")
+        .when(says(r"\bdismiss(?:ed)?\b"), "dismissed").when(says(r"certificate of appealability"), "certificate").otherwise("unclear")
+    )
+
+
+def agreement(found: Column, coded: Column) -> Column:
+    return F.when((found == "unclear") | coded.isNull(), "review").when(found == coded, "support").when(found == "mixed", "review").otherwise("conflict")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quarry.plans import join_queries, report_queries, text_queries, window_queries  # noqa: F401  they register
+from quarry.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(sorted(QUERIES.items()))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sorted(ORACLES.items()))
