@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.exprs import first_match, flat, strip_tags
 
-NAME = r"([A-Z][A-Za-z.'\-]+(?: [A-Z][A-Za-z.'\-]+){0,4})"
+NAME = r"([A-Z][A-Za-z.'\-]++(?: [A-Z][A-Za-z.'\-]++){0,4}+)(?! and\b)"  # whole names only, and no lists
 TITLE = r"(?:Chief |Senior )?(?:Circuit|District) Judge"
 # Name, priority and scope of the patterns, in the order in which they win.
 PATTERNS = (

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A file stream of a folder of event files, with the batch table's schema."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A file stream of a folder of event files, with the batch table's schema and ts as an instant (UTC)."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
