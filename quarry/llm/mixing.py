@@ -3,8 +3,8 @@
 Documents are counted by source and exact token length.  A source's target is its share of the budget (weights,
 with at most `most_repeats` times the source itself; what is above is shared again by weight).  Whole
 passes over the source are taken first; the rest of the target is fitted by lengths: of each length the same
-share of its documents, then the largest lengths that still fit, and at the end a bounded knapsack over the counts left
-finds the subset whose sum comes nearest to the last few thousand tokens.  The fit works on the length
+share of its documents, and at the end a bounded knapsack over the counts left finds the subset whose sum comes nearest to
+the last KNAPSACK tokens or fewer.  The fit works on the length
 histogram of one source, never on its documents; the result, a number of documents for each length, is
 turned into documents by a seeded order of those that have that length.
 
@@ -63,14 +63,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = (counts.astype(object) * budget // max(total, 1)).astype(np.int64) if total else np.zeros_like(counts)
-    take[lengths <= 0] = 0
+    take = np.zeros_like(counts)
+    if budget > KNAPSACK:  # of each length the same share, with half of the knapsack left for the exact part
+        take = (counts.astype(object) * (budget - KNAPSACK // 2) // total).astype(np.int64)
     left = budget - int((lengths * take).sum())
-    for i in np.argsort(-lengths, kind="stable"):  # at least half of the knapsack stays for the exact part
+    for i in np.argsort(-lengths, kind="stable"):  # what rounding left, by the largest lengths
         n = int(lengths[i])
-        if n <= 0 or left <= KNAPSACK // 2:
+        if n <= 0 or left <= KNAPSACK:
             break
-        more = min(int(counts[i] - take[i]), max(0, (left - KNAPSACK // 2) // n))
+        more = min(int(counts[i] - take[i]), (left - KNAPSACK // 2) // n)
         take[i] += more
         left -= more * n
     return take + knapsack(lengths, np.minimum(counts - take, np.where(lengths > 0, left // np.maximum(lengths, 1), 0)), left)
