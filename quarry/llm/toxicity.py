@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, keep=None, bits: int = BITS, per_c
     sample = usable.where(order < part)
     rows = (
         docs.select("doc_id", "text")
-        .join(sample, "doc_id")
+        .join(F.broadcast(sample), "doc_id")  # at most about 2 * per_class short rows
         .select("text", "_label", F.explode(F.array(*[F.lit(e) for e in range(epochs)])).alias("_epoch"), "doc_id")
         .repartition(1)
         .sortWithinPartitions("_epoch", F.xxhash64("doc_id", "_epoch", F.lit("order")), "text")
