@@ -8,11 +8,17 @@ the edits of a text with thousands of near copies outweigh the text.  Texts with
 one node (a 128-bit hash) from the start.  Each node draws BANDS * ROWS consistent weighted samples; ROWS
 samples make a band, and nodes that agree on a band share a bucket.
 
-No bucket is ever expanded into all its pairs.  Its least node is compared with each of the others; members that turn
-out similar are linked to it, and what is left over is compared with the least of the left-over nodes, then with the
-next four, sixteen, ... of them, until every member is linked to one of those centres or has been one.  Comparisons are exact weighted
-Jaccard similarities of whole texts; pairs of SIMILARITY or more, by these weights or by term frequency alone, are links,
-and classes are their connected components, found by spreading the least label over the links.
+No bucket is ever expanded into all its pairs: its least node is compared with each of the others.  Buckets whose members
+do not end up in one class (texts that share a passage, say, and agree on little else) are split by a second band, each
+by every other band of its members, and one node of each part (another one in each, by a hash) is compared with the others
+that are not yet in its class.  So
+the number of comparisons is at most a fixed multiple of the number of nodes, however large the buckets are.  Two texts
+at the threshold agree on two bands or more with a probability of 0.997, in 21 pairs of bands on average.
+
+Pairs whose samples agree in less than LIKELY of all cases (five standard deviations below the threshold) are left; for the
+rest the exact weighted Jaccard similarities of the whole texts are computed.  Pairs of SIMILARITY or more, by these weights or
+by term frequency alone, are links, and classes are their connected components, found by spreading the least label over the
+links.
 
 All intermediate tables are narrow (hashes), except for the texts of nodes that share a bucket.  Joins are on
 written tables, so that adaptive execution can split a hot bucket, centre or class.
@@ -32,13 +38,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.llm import common as c
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
+LIKELY = 0.5  #: least share of equal samples for a pair whose texts are compared
 SKETCH, SKETCH_ROWS, SKETCH_PARTS = 1 << 18, 2, 16
 
 _R = np.random.default_rng(2)
@@ -53,14 +59,17 @@ def node_of(words: list[bytes]) -> bytes | None:
     return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
 
 
-def cells(h: np.ndarray) -> list[np.ndarray]:
-    return [(c.mix(h + c.U64(k + 1)) & c.U64(SKETCH - 1)).astype(np.int64) for k in range(SKETCH_ROWS)]
+_SHORT = c.U64(24)  #: bits that the sketch and sorting leave out of a shingle's hash
+
+
+def cells(short: np.ndarray) -> list[np.ndarray]:
+    return [(c.mix(short + c.U64(k + 1)) & c.U64(SKETCH - 1)).astype(np.int64) for k in range(SKETCH_ROWS)]
 
 
 def weighted(h: np.ndarray, starts: np.ndarray, idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text, their weights, and where each text starts."""
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    order = np.lexsort((h, owner))
+    order = np.argsort(owner.astype(c.U64) << c.U64(40) | h >> _SHORT)
     h, owner = h[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.zeros(0, np.int64)
     times = np.diff(np.append(first, len(h)))
@@ -74,16 +83,16 @@ class Idf:
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         out = None
-        for row, at in zip(self.table, cells(h), strict=True):
+        for row, at in zip(self.table, cells(h >> _SHORT), strict=True):
             out = row[at] if out is None else np.maximum(out, row[at])  # the lower count
         return out
 
 
-def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each text with shingles, BANDS keys from consistent weighted samples (shingle, quantised weight)."""
+def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text with shingles, 16 bits of each consistent weighted sample (shingle, quantised weight), and BANDS keys."""
     some = np.flatnonzero(np.diff(starts) > 0)
     at, log_w = starts[some], np.log(w).astype(np.float32)
-    keys = np.zeros((BANDS, len(some)), c.U64)
+    keys, short = np.zeros((BANDS, len(some)), c.U64), np.zeros((BANDS * ROWS, len(some)), np.uint16)
     place = np.arange(len(h), dtype=c.U64)
     for j in range(BANDS * ROWS):
         x = h * _MULA[j]
@@ -95,8 +104,10 @@ def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
         value = np.where(value >> np.uint32(31), ~value, value | np.uint32(1 << 31))  # in the order of the floats
         best = np.minimum.reduceat(value.astype(c.U64) << c.U64(32) | place, at) & c.U64(0xFFFFFFFF)
         best = best.astype(np.int64)
-        keys[j // ROWS] = c.mix(keys[j // ROWS] * c.U64(0x9E3779B97F4A7C15) + h[best] + c.mix(t[best].astype(np.int64).view(c.U64) + c.U64(j)))
-    return keys
+        one = c.mix(h[best] + c.mix(t[best].astype(np.int64).view(c.U64) + c.U64(j)))
+        keys[j // ROWS] = c.mix(keys[j // ROWS] * c.U64(0x9E3779B97F4A7C15) + one)
+        short[j] = one >> c.U64(48)
+    return short, keys
 
 
 _PASS1 = "doc_id long, node binary, n_words int, part int, counts binary"
@@ -109,7 +120,8 @@ def _nodes_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for start, texts in c.chunks(batch, "text"):
             lists = [c.plain_words(t) for t in texts]
             h, starts = c.shingle_hashes(*c.gathered(lists, hasher), WIDTH)
-            once, _, _ = weighted(h, starts, None)
+            owner = np.repeat(np.arange(len(texts), dtype=c.U64), np.diff(starts))
+            once = np.unique(owner << c.U64(40) | h >> _SHORT) & c.U64((1 << 40) - 1)
             for row, at in zip(sketch, cells(once), strict=True):
                 row += np.bincount(at, minlength=SKETCH)
             n = len(texts)
@@ -143,7 +155,10 @@ def _idf(first: DataFrame) -> Idf:
     return Idf(sketch, first.where("node IS NOT NULL").count())
 
 
-def _bands(idf):
+_SIGNATURE = "node binary, samples binary, keys array<bigint>"
+
+
+def _signatures(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, weights = c.WordHash(), idf.value
         for batch in batches:
@@ -151,14 +166,22 @@ def _bands(idf):
                 lists = [x for t in texts if (x := c.plain_words(t))]
                 if not lists:
                     continue
-                h, w, starts = weighted(*c.shingle_hashes(*c.gathered(lists, hasher), WIDTH), weights)
-                keys = samples(h, w, starts)
-                nodes = [node_of(x) for x in lists]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes * BANDS, pa.binary()), pa.array(np.repeat(np.arange(BANDS, dtype=np.int32), len(lists))), pa.array(keys.view(np.int64).ravel())], names=["node", "band", "key"])
+                short, keys = samples(*weighted(*c.shingle_hashes(*c.gathered(lists, hasher), WIDTH), weights))
+                flat = pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel())
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * BANDS), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, lists), pa.binary()), pa.array([x.tobytes() for x in np.ascontiguousarray(short.T)], pa.binary()), keys], names=["node", "samples", "keys"])
 
     return run
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose samples agree often enough."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((a == b).mean(1) >= LIKELY))
+
+
 def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
     """The larger weighted Jaccard similarity of two sets: sorted keys, and two kinds of weights."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -195,43 +218,52 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(right, pa.bool_()))
 
 
+_PAIR = "centre binary, node binary"
+
+
 def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scratch) -> DataFrame:
-    """(centre, node) of nodes found similar."""
-    bands = scratch.save(docs.select("text").mapInArrow(_bands(idf), "node binary, band int, key long").distinct(), "bands")
-    buckets = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    """(node, root) of nodes that links connect."""
+    signatures = scratch.save(docs.select("text").mapInArrow(_signatures(idf), _SIGNATURE).dropDuplicates(["node"]), "signatures")
+    shorts = signatures.select("node", "samples")
+    bands = signatures.select("node", F.posexplode("keys").alias("band", "key"))
+    buckets = scratch.save(bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n"), "buckets")
     members = scratch.save(bands.join(buckets, ["band", "key"]), "members")
     reps = first.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = scratch.save(members.select("node").distinct().join(reps, "node"), "wanted")
-    texts = scratch.save(docs.join(wanted, "doc_id").select("node", "text").mapInArrow(_texts, "node binary, text string"), "texts")
-    links = tested = None
-    left, centres = members, 1
-    while True:
-        order = Window.partitionBy("band", "key").orderBy("node")
-        if centres == 1:
-            heads = left.groupBy("band", "key").agg(F.min("node").alias("centre"))
-        else:
-            heads = left.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= centres).select("band", "key", F.col("node").alias("centre"))
-        heads = scratch.save(heads, "heads")
-        pairs = members.join(heads, ["band", "key"]).where(F.col("node") != F.col("centre"))
-        pairs = pairs.select(F.least("node", "centre").alias("centre"), F.greatest("node", "centre").alias("node")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("centre", "node"), ["centre", "node"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
-        with_one = scratch.save(pairs.join(texts, "node").select("centre", "node", F.col("text").alias("_b")), "with_one")
-        both = with_one.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("_a")), "centre").select("centre", "node", "_a", "_b")
-        new = scratch.save(both.mapInArrow(_compare(idf), "centre binary, node binary, similarity double"), "compared")
-        scratch.drop(with_one)
-        tested = new if tested is None else tested.unionByName(new)
-        good = new.where(F.col("similarity") >= least).select("centre", "node")
-        links = good if links is None else links.unionByName(good)
-        # a member is done when it is a head of its bucket or similar to one
-        linked = links.select("centre", "node").unionByName(links.select(F.col("node").alias("centre"), F.col("centre").alias("node"))).distinct()
-        open_left = left.join(heads.select("band", "key", F.col("centre").alias("node")), ["band", "key", "node"], "left_anti")
-        reached = open_left.join(heads, ["band", "key"]).join(linked, ["centre", "node"]).select("band", "key", "node").distinct()
-        left = scratch.save(open_left.join(reached, ["band", "key", "node"], "left_anti"), "left")
-        if left.isEmpty():
-            return scratch.save(links.distinct(), "links")
-        centres *= 4
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        one = scratch.save(pairs.join(shorts, "node").select("centre", "node", F.col("samples").alias("b")), "one_side")
+        both = one.join(shorts.select(F.col("node").alias("centre"), F.col("samples").alias("a")), "centre").select("centre", "node", "a", "b")
+        return scratch.save(both.mapInArrow(_likely, _PAIR), "likely")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The links among likely pairs, by their texts."""
+        nodes = pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct()
+        wanted = scratch.save(nodes.join(reps, "node"), "wanted")
+        texts = scratch.save(docs.join(wanted, "doc_id").select("node", "text").mapInArrow(_texts, "node binary, text string"), "texts")
+        one = scratch.save(pairs.join(texts, "node").select("centre", "node", F.col("text").alias("_b")), "with_one")
+        both = one.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("_a")), "centre").select("centre", "node", "_a", "_b")
+        out = scratch.save(both.mapInArrow(_compare(idf), f"{_PAIR}, similarity double").where(F.col("similarity") >= least).select("centre", "node"), "links")
+        scratch.drop(one)
+        scratch.drop(texts)
+        return out
+
+    pairs = members.where(F.col("node") != F.col("centre")).select("centre", "node").distinct()
+    links = compared(likely(pairs))
+    roots = components(links, scratch)
+    rooted = scratch.save(members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "rooted_members")
+    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band", "key")
+    split = scratch.save(rooted.join(mixed, ["band", "key"]).groupBy("node", "root").agg(F.collect_set("band").alias("open")), "split")  # at most BANDS to a node
+    if split.isEmpty():
+        return roots
+    other = F.transform("open", lambda b: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.when(k != b, F.struct(F.least(b, k).alias("b"), F.greatest(b, k).alias("k")))))
+    both = F.array_distinct(F.filter(F.flatten(other), lambda x: x.isNotNull()))
+    parts = split.join(signatures.select("node", "keys"), "node").select("node", "root", "keys", F.explode(both).alias("x"))
+    parts = parts.select("node", "root", F.xxhash64("x.b", "x.k", F.element_at("keys", F.col("x.b") + 1), F.element_at("keys", F.col("x.k") + 1)).alias("part"))
+    parts = scratch.save(parts, "parts")
+    heads = parts.groupBy("part").agg(F.min(F.struct(F.xxhash64("part", "node"), "node", "root")).alias("h"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
+    heads = scratch.save(heads.select("part", F.col("h.node").alias("centre"), F.col("h.root").alias("centre_root")), "heads")
+    more = parts.join(heads, "part").where(F.col("root") != F.col("centre_root")).select("centre", "node").distinct()
+    return components(links.unionByName(compared(likely(more.join(pairs, ["centre", "node"], "left_anti")))), scratch)
 
 
 def components(links: DataFrame, scratch: c.Scratch) -> DataFrame:
@@ -255,8 +287,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, scratch: c.Scratch | Non
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = scratch.save(docs.mapInArrow(_nodes_and_sketch, _PASS1), "first")
     idf = spark.sparkContext.broadcast(_idf(first))
-    links = _links(docs.where("doc_id IS NOT NULL"), first, idf, least, scratch)
-    labels = components(links, scratch)
+    labels = _links(docs.where("doc_id IS NOT NULL"), first, idf, least, scratch)
     rows = first.where("part IS NULL").select("doc_id", "node")
     copies = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("copy_id"))
     rooted = scratch.save(copies.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
