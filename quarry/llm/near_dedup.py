@@ -44,6 +44,7 @@ from quarry.llm import common as c
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
+CELLS = 1 << 24  #: bits of the sieve that keeps texts which cannot be wanted out of a shuffle
 LIKELY = 0.5  #: least share of equal samples for a pair whose texts are compared
 SKETCH, SKETCH_ROWS, SKETCH_PARTS = 1 << 18, 2, 16
 
@@ -221,6 +222,21 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIR = "centre binary, node binary"
 
 
+def _sieve(wanted: DataFrame):
+    """A column function that is false only for doc_ids that wanted lacks: CELLS bits, whatever the number of rows."""
+    cell = lambda x: F.pmod(F.xxhash64(x), F.lit(CELLS))
+    words = wanted.select(cell(F.col("doc_id")).alias("c")).groupBy(F.floor(F.col("c") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("bits"))
+    got, bits = words.toArrow(), np.zeros(CELLS // 64, np.int64)
+    bits[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    shared = wanted.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+
+    @F.arrow_udf("boolean")
+    def passes(c: pa.Array) -> pa.Array:
+        return pa.array(shared.value[c.to_numpy()].astype(bool))
+
+    return lambda x: passes(cell(x))
+
+
 def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scratch) -> DataFrame:
     """(node, root) of nodes that links connect."""
     signatures = scratch.save(docs.select("text").mapInArrow(_signatures(idf), _SIGNATURE).dropDuplicates(["node"]), "signatures")
@@ -239,7 +255,7 @@ def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scra
         """The links among likely pairs, by their texts."""
         nodes = pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct()
         wanted = scratch.save(nodes.join(reps, "node"), "wanted")
-        texts = scratch.save(docs.join(wanted, "doc_id").select("node", "text").mapInArrow(_texts, "node binary, text string"), "texts")
+        texts = scratch.save(docs.where(_sieve(wanted)(F.col("doc_id"))).join(wanted, "doc_id").select("node", "text").mapInArrow(_texts, "node binary, text string"), "texts")
         one = scratch.save(pairs.join(texts, "node").select("centre", "node", F.col("text").alias("_b")), "with_one")
         both = one.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("_a")), "centre").select("centre", "node", "_a", "_b")
         out = scratch.save(both.mapInArrow(_compare(idf), f"{_PAIR}, similarity double").where(F.col("similarity") >= least).select("centre", "node"), "links")
