@@ -21,7 +21,7 @@ an underscore.  The sources themselves (one short row each) are handled by the d
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,10 +100,10 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return take
 
 
-def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("_size")
-    take = fit(rows["_size"].to_numpy(), rows["_n"].to_numpy(), int(rows["_rest"].iloc[0]))
-    return pd.DataFrame({"_sid": rows["_sid"], "_size": rows["_size"], "_n": rows["_n"], "_take": take})
+def _fit_source(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("_size")
+    take = fit(rows["_size"].to_numpy(), rows["_n"].to_numpy(), rows["_rest"][0].as_py())
+    return rows.select(["_sid", "_size", "_n"]).append_column("_take", pa.array(take, pa.int64()))
 
 
 def source_plan(histogram: DataFrame, **options) -> DataFrame:
@@ -130,7 +130,7 @@ def _group_plan(narrow: DataFrame, sources: DataFrame, histogram: DataFrame, scr
     """(_sid, _size, _all, _last) for lengths of which documents are taken: all, or those whose (_h, _h2) is up to _last."""
     same = histogram["_source"].eqNullSafe(sources["_source"])
     lengths = histogram.join(sources, same).where((F.col("_size") > 0) & (F.col("_rest") > 0)).select("_sid", "_size", "_n", "_rest")
-    groups = scratch.save(lengths.groupBy("_sid").applyInPandas(_fit_source, "_sid int, _size long, _n long, _take long").where("_take > 0"), "groups")
+    groups = scratch.save(lengths.groupBy("_sid").applyInArrow(_fit_source, "_sid int, _size long, _n long, _take long").where("_take > 0"), "groups")
     part = groups.where(F.col("_take") < F.col("_n")).withColumn("_ranges", F.ceil(F.sqrt("_n")).cast("long"))
     hb = F.floor((F.shiftright("_h", 33) + (1 << 30)) * F.col("_ranges") / float(1 << 31)).cast("long")
     ranged = narrow.join(part, ["_sid", "_size"]).withColumn("_range", hb)
