@@ -11,9 +11,13 @@ samples make a band, and nodes that agree on a band share a bucket.
 No bucket is ever expanded into all its pairs: its least node is compared with each of the others.  Buckets whose members
 do not end up in one class (texts that share a passage, say, and agree on little else) are split by a second band, each
 by every other band of its members, and one node of each part (another one in each, by a hash) is compared with the others
-that are not yet in its class.  So
-the number of comparisons is at most a fixed multiple of the number of nodes, however large the buckets are.  Two texts
-at the threshold agree on two bands or more with a probability of 0.997, in 21 pairs of bands on average.
+that are not yet in its class.  These two rounds find most links with comparisons in proportion to the nodes.
+
+Members of buckets that are mixed even then are settled by an exact join.  Their shingles are put in one order, those with
+the largest inverse document frequency first.  If two texts are alike to the threshold t, the first shingle they share has little
+weight before it: at most 1 - 2t / (1 + t) of the lighter text's and 1 - t of the heavier one's, and what follows it is
+enough for the overlap t asks for.  Pairs of different classes that meet this at some shingle are compared, so no two texts in
+a mixed bucket are left apart unseen, and texts that share a template alone are not paired, as its shingles come too late.
 
 Pairs whose samples agree in less than LIKELY of all cases (five standard deviations below the threshold) are left; for the
 rest the exact weighted Jaccard similarities of the whole texts are computed.  Pairs of SIMILARITY or more, by these weights or
@@ -212,6 +216,51 @@ def _compare(idf):
     return run
 
 
+_START = "key long, node binary, root binary, light boolean, before0 float, before1 float, weight0 float, weight1 float"
+SLACK = 1e-4  #: of a weight, for the rounding of floats
+
+
+def starts(h: np.ndarray, rarity: np.ndarray, kinds: tuple[np.ndarray, ...], least: float) -> tuple[np.ndarray, ...]:
+    """The first shingles of a text in the order of rarity, as far as a text alike to `least` may first share one: hashes,
+    whether a text that is no lighter may, and for both kinds the weights before each and in all."""
+    order = np.lexsort((h, -rarity))
+    total = [float(x.sum()) for x in kinds]
+    before = [np.cumsum(x[order]) - x[order] for x in kinds]
+    heavy, light = (np.logical_or.reduce([b <= (share + SLACK) * t for b, t in zip(before, total, strict=True)]) for share in (1 - least, 1 - 2 * least / (1 + least)))
+    at = np.flatnonzero(heavy)
+    return h[order[at]], light[at], *(b[at] for b in before), *(np.full(len(at), t) for t in total)
+
+
+def _starts(idf, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, weights = c.WordHash(), idf.value
+        names = ["key", "node", "root", "light", "before0", "before1", "weight0", "weight1"]
+        for batch in batches:
+            for node, root, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), c.as_bytes(batch.column(2)), strict=True):
+                words = c.plain_words(text)
+                h, tf, _ = weighted(*c.shingle_hashes(hasher.of(words), np.array([0, len(words)]), WIDTH), None)
+                rarity = weights(h)
+                key, light, *numbers = starts(h, rarity, (tf * rarity, tf), least)
+                same = [pa.array([x], pa.binary()).take(pa.array(np.zeros(len(key), np.int64))) for x in (node, root)]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *same, pa.array(light), *(pa.array(x.astype(np.float32)) for x in numbers)], names=names)
+
+    return run
+
+
+def _meeting(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs of different roots that share a shingle early enough for a similarity of least, by either kind of weights."""
+    own = [x for x in rows.columns if x != "key"]
+    spread = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
+    shared = rows.join(spread, "key")
+    a, b = (shared.select("key", *(F.col(x).alias(f"{side}_{x}") for x in own)) for side in ("a", "b"))
+    enough = F.lit(False)
+    for k in (0, 1):
+        rest = F.least(*(F.col(f"{s}_weight{k}") - F.col(f"{s}_before{k}") for s in "ab"))
+        enough |= rest >= (F.col(f"a_weight{k}") + F.col(f"b_weight{k}")) * (least / (1 + least) - SLACK)
+    met = a.where("a_light").join(b, "key").where((F.col("a_root") != F.col("b_root")) & enough)
+    return met.select(F.least("a_node", "b_node").alias("centre"), F.greatest("a_node", "b_node").alias("node")).distinct()
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Only rows whose text is that of the node."""
     for batch in batches:
@@ -251,11 +300,13 @@ def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scra
         both = one.join(shorts.select(F.col("node").alias("centre"), F.col("samples").alias("a")), "centre").select("centre", "node", "a", "b")
         return scratch.save(both.mapInArrow(_likely, _PAIR), "likely")
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = scratch.save(nodes.join(reps, "node"), "wanted")
+        return scratch.save(docs.where(_sieve(wanted)(F.col("doc_id"))).join(wanted, "doc_id").select("node", "text").mapInArrow(_texts, "node binary, text string"), "texts")
+
     def compared(pairs: DataFrame) -> DataFrame:
         """The links among likely pairs, by their texts."""
-        nodes = pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct()
-        wanted = scratch.save(nodes.join(reps, "node"), "wanted")
-        texts = scratch.save(docs.where(_sieve(wanted)(F.col("doc_id"))).join(wanted, "doc_id").select("node", "text").mapInArrow(_texts, "node binary, text string"), "texts")
+        texts = texts_of(pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct())
         one = scratch.save(pairs.join(texts, "node").select("centre", "node", F.col("text").alias("_b")), "with_one")
         both = one.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("_a")), "centre").select("centre", "node", "_a", "_b")
         out = scratch.save(both.mapInArrow(_compare(idf), f"{_PAIR}, similarity double").where(F.col("similarity") >= least).select("centre", "node"), "links")
@@ -263,12 +314,16 @@ def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scra
         scratch.drop(texts)
         return out
 
+    def mixed(roots: DataFrame) -> DataFrame:
+        """(node, root, open): nodes in buckets of more than one root, with the bands of these."""
+        rooted = scratch.save(members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "rooted_members")
+        several = rooted.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band", "key")
+        return scratch.save(rooted.join(several, ["band", "key"]).groupBy("node", "root").agg(F.collect_set("band").alias("open")), "split")  # at most BANDS to a node
+
     pairs = members.where(F.col("node") != F.col("centre")).select("centre", "node").distinct()
     links = compared(likely(pairs))
     roots = components(links, scratch)
-    rooted = scratch.save(members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "rooted_members")
-    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band", "key")
-    split = scratch.save(rooted.join(mixed, ["band", "key"]).groupBy("node", "root").agg(F.collect_set("band").alias("open")), "split")  # at most BANDS to a node
+    split = mixed(roots)
     if split.isEmpty():
         return roots
     other = F.transform("open", lambda b: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.when(k != b, F.struct(F.least(b, k).alias("b"), F.greatest(b, k).alias("k")))))
@@ -279,7 +334,14 @@ def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scra
     heads = parts.groupBy("part").agg(F.min(F.struct(F.xxhash64("part", "node"), "node", "root")).alias("h"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
     heads = scratch.save(heads.select("part", F.col("h.node").alias("centre"), F.col("h.root").alias("centre_root")), "heads")
     more = parts.join(heads, "part").where(F.col("root") != F.col("centre_root")).select("centre", "node").distinct()
-    return components(links.unionByName(compared(likely(more.join(pairs, ["centre", "node"], "left_anti")))), scratch)
+    links = links.unionByName(compared(likely(more.join(pairs, ["centre", "node"], "left_anti"))))
+    roots = components(links, scratch)
+    split = mixed(roots)
+    if split.isEmpty():
+        return roots
+    rows = split.select("node", "root").join(texts_of(split.select("node")), "node").select("node", "root", "text")
+    rows = scratch.save(rows.mapInArrow(_starts(idf, least), _START), "starts")
+    return components(links.unionByName(compared(likely(scratch.save(_meeting(rows, least), "met")))), scratch)
 
 
 def components(links: DataFrame, scratch: c.Scratch) -> DataFrame:

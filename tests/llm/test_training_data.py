@@ -129,6 +129,19 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dedup.classes(empty).count() == 0 and near_dedup.drop_duplicates(empty).count() == 0
 
 
+def test_near_copies_among_thousands_of_one_template(spark):
+    """Texts at 0.75 to each other share buckets; pairs at 0.82 among them, far from centre and head, are found."""
+    template = prose(4321, 240)
+    tails = [prose(50_000 + i, 40).split() for i in range(2400)]
+    for i in range(0, 120, 2):
+        tails[i + 1][:14] = tails[i][:14]
+    rows = [(i, f"{template} {' '.join(t)}", "en", "s", 1) for i, t in enumerate(tails)]
+    plain = [weights_of(rows[i][1], None) for i in range(4)]
+    assert jaccard(plain[0], plain[1]) > 0.82 and jaccard(plain[0], plain[2]) < 0.76
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()}
+    assert got == {i: i - i % 2 if i < 120 else i for i in range(2400)}
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     words = [str(i).encode() for i in range(400)]
     a, b = words[:300], words[30:330]
