@@ -20,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines whose keys ten or more of them hold."""
+    """All documents, without repeats of the lines whose keys ten or more of them hold; the first of each line stays."""
     common.ship(spark)
-    return line_dedup.apply(docs)
+    return line_dedup.apply(docs, keep_first=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -453,5 +453,13 @@ def test_pipeline(spark):
     assert sorted(map(str, before.collect())) == sorted(map(str, corpus_pipeline.run(spark, SF).collect()))
 
 
+def test_pipeline_keeps_one_of_many_copies(spark, docs):
+    text = "\n".join(prose(70_000 + i, 30) for i in range(6))
+    copies = spark.createDataFrame([(8000 + i, text, "en", "s1", len(text)) for i in range(25)], SCHEMA)
+    lines = corpus_pipeline.drop_common_lines(spark, docs.unionByName(copies), SF)
+    kept = corpus_pipeline.drop_near_duplicates(spark, lines, SF).where("doc_id >= 8000 AND text <> ''").collect()
+    assert [(r["text"], r["n_chars"]) for r in kept] == [(text, len(text))]
+
+
 def test_digest():
     assert pii.digest("") == hashlib.sha256(b"").hexdigest()
