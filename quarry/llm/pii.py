@@ -22,7 +22,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,6 @@ from quarry.llm import common as c
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS, MAX_CHARS = 16, 64
-ZONE_ATOMS = 400  #: longer zones are cut
 FIT_TEXTS, FIT_ZONES, EPOCHS = 3000, 1200, 3
 MEMORY = 200_000
 
@@ -86,14 +87,18 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def _word(text: str, at: int) -> tuple[int, int]:
-    """The word that holds a place, as far as MAX_CHARS to either side."""
-    start, end = at, at + 1
+def _word(text: str, at: int, whole: bool = True) -> tuple[int, int]:
+    """The word that holds a place, as far as MAX_CHARS to either side; if whole, as far as that after its last trigger
+    that is less than two MAX_CHARS from the one before, so that no entity crosses the end."""
+    start, end, last = at, at + 1, at
     while start > 0 and at - start < MAX_CHARS and text[start - 1] not in c.BLANK:
         start -= 1
-    while end < len(text) and end - at < MAX_CHARS and text[end] not in c.BLANK:
+    reach = 2 * MAX_CHARS if whole else MAX_CHARS
+    while end < len(text) and end - last < reach and text[end] not in c.BLANK:
+        if whole and _TRIGGER.match(text, end):
+            last = end
         end += 1
-    return start, end
+    return start, end if end == len(text) or text[end] in c.BLANK else last + MAX_CHARS
 
 
 def zones(text: str, spans: list[Span], everything: bool = False) -> Iterator[tuple[int, int]]:
@@ -108,22 +113,22 @@ def zones(text: str, spans: list[Span], everything: bool = False) -> Iterator[tu
         if not everything and (inside := [e for e, s in by_end[k : k + 4] if s <= p]):
             at = max(inside)
             continue
-        start, end = _word(text, p)
+        start, end = _word(text, p, not everything)
         start = max(start, done)
         # words before and after that belong to it: "name [at] host", "(359) 555-3724"
         before = start
         for _ in range(2):
             if before - 1 > done and text[before - 1] == " ":
-                s, e = _word(text, before - 2)
+                s, e = _word(text, before - 2, not everything)
                 if e == before - 1 and (text[s:e].lower() in _AT_WORDS or text[before : before + 4].lower() in ("[at]", "(at)", "at ") or before == start and _TRIGGER.search(text, s, e)):
                     before = max(s, done)
                     continue
             break
         start = before
         while end + 1 < len(text) and text[end] == " " and text[end + 1] not in c.BLANK:
-            s, e = _word(text, end + 1)
+            s, e = _word(text, end + 1, not everything)
             word = text[s:e].lower()
-            if not (_TRIGGER.search(word) or word in _AT_WORDS or text[start:end].lower().endswith((" at", "[at]", "(at)"))):
+            if not (_TRIGGER.search(word) or word in _AT_WORDS or text[max(start, end - 4) : end].lower().endswith((" at", "[at]", "(at)"))):
                 break
             end = e
         yield start, end
@@ -178,43 +183,56 @@ class Model:
         return got
 
 
-def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, list[str], str]]]:
-    """Atom boundaries of a zone, and candidate entities as (first atom, end atom, shapes, flags)."""
+Candidate = tuple[int, int, list[str], str]  # first atom, end atom, shapes, flags
+
+
+def atoms_of(text: str, start: int, end: int) -> tuple[list[int], list[str]]:
+    """Atom boundaries and shapes of a zone."""
     places = [m.start() for m in _ATOM.finditer(text, start, end)] + [end]
-    atoms = [text[a:b] for a, b in zip(places, places[1:], strict=False)]
-    shapes, out = [shape(a) for a in atoms], []
-    for i, first in enumerate(shapes):
-        if first[0] not in "dai+(" or first == "_":
+    return places, [shape(text[a:b]) for a, b in zip(places, places[1:], strict=False)]
+
+
+def starting(text: str, places: list[int], shapes: list[str], i: int) -> Iterator[Candidate]:
+    """Candidate entities whose first atom is i."""
+    first = shapes[i]
+    if first[0] not in "dai+(" or first == "_":
+        return
+    left, digits, trigger = _border(text[places[i] - 1 : places[i]] if places[i] else ""), "", False
+    for j in range(i + 1, min(len(shapes), i + MAX_ATOMS) + 1):
+        last = shapes[j - 1]
+        if places[j] - places[i] > MAX_CHARS:
+            break
+        if last[0] == "d":
+            digits += text[places[j - 1] : places[j]]
+            trigger = True
+        trigger = trigger or last in ("@", "at")
+        if not trigger or last[0] not in "dai" or j - i == 1 and last[0] != "d":
             continue
-        left, digits, trigger = _border(text[places[i] - 1 : places[i]] if places[i] else ""), "", False
-        for j in range(i + 1, min(len(atoms), i + MAX_ATOMS) + 1):
-            last = shapes[j - 1]
-            if places[j] - places[i] > MAX_CHARS:
-                break
-            if last[0] == "d":
-                digits += atoms[j - 1]
-                trigger = True
-            trigger = trigger or last in ("@", "at")
-            if not trigger or last[0] not in "dai" or j - i == 1 and last[0] != "d":
-                continue
-            check = "L" if 12 <= len(digits) <= 19 and luhn(digits) else "-"
-            octets = "O" if j - i == 7 and all(s == "." for s in shapes[i + 1 : j : 2]) and all(a.isdigit() and len(a) <= 3 and int(a) <= 255 for a in atoms[i:j:2]) else "-"
-            out.append((i, j, shapes[i:j], left + _border(text[places[j] : places[j] + 1]) + check + octets))
-    return places, out
+        check = "L" if 12 <= len(digits) <= 19 and luhn(digits) else "-"
+        atoms = [text[places[k] : places[k + 1]] for k in range(i, j, 2)] if j - i == 7 else []
+        octets = "O" if atoms and all(s == "." for s in shapes[i + 1 : j : 2]) and all(a.isdigit() and len(a) <= 3 and int(a) <= 255 for a in atoms) else "-"
+        yield i, j, shapes[i:j], left + _border(text[places[j] : places[j] + 1]) + check + octets
+
+
+def candidates(text: str, start: int, end: int) -> tuple[list[int], list[Candidate]]:
+    """Atom boundaries of a zone, and all its candidate entities."""
+    places, shapes = atoms_of(text, start, end)
+    return places, [x for i in range(len(shapes)) for x in starting(text, places, shapes, i)]
 
 
 def decode(model: Model, text: str, start: int, end: int) -> list[Span]:
-    """The best segmentation's entities in a zone."""
-    places, found = candidates(text, start, end)
-    n = len(places) - 1
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    by_end: dict[int, list] = {}
-    for x in found:
-        by_end.setdefault(x[1], []).append(x)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, _, shapes, flags in by_end.get(j, ()):
-            scores = model.score(shapes, flags)
+    """The best segmentation's entities in a zone of any length; candidates are made as the programme gets to them."""
+    places, shapes = atoms_of(text, start, end)
+    n = len(shapes)
+    best, back = [-math.inf] * (n + 1), [None] * (n + 1)
+    best[0] = 0.0
+    for i in range(n + 1):
+        if i and best[i] <= best[i - 1]:
+            best[i], back[i] = best[i - 1], None
+        if i == n:
+            break
+        for _, j, own, flags in starting(text, places, shapes, i):
+            scores = model.score(own, flags)
             top = max(scores)
             if best[i] + top > best[j]:
                 best[j], back[j] = best[i] + top, (i, scores.index(top))
@@ -229,25 +247,18 @@ def decode(model: Model, text: str, start: int, end: int) -> list[Span]:
     return out[::-1]
 
 
-def _pieces(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """A zone in pieces of at most about ZONE_ATOMS atoms, cut before a blank where there is one."""
-    while end - start > ZONE_ATOMS:
-        cut = text.rfind(" ", start + 1, start + ZONE_ATOMS)
-        cut = cut if cut > start else start + ZONE_ATOMS
-        yield start, cut
-        start = cut
-    yield start, end
-
-
 def all_spans(model: Model, text: str) -> tuple[list[Span], list[Span]]:
     """The rules' spans, and those with the model's, both in order."""
     if not _TRIGGER.search(text):
         return [], []
     base = base_spans(text)
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     added = []
-    for zone in zones(text, base):
-        for start, end in _pieces(text, *zone):
-            added += [x for x in decode(model, text, start, end) if all(x[2] <= s or x[0] >= e for s, _, e in base)]
+    for start, end in zones(text, base):
+        for x in decode(model, text, start, end):
+            before = bisect_left(starts, x[2])  # rules' spans that start before its end
+            if not before or ends[before - 1] <= x[0]:
+                added.append(x)
     return base, sorted(base + added)
 
 

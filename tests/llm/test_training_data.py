@@ -283,6 +283,32 @@ def test_pii(spark, docs, empty):
     assert pii.find(spark, empty, pii.train(empty)).count() == 0
 
 
+def learnt():
+    r = random.Random(9)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    makers = (lambda: f"+1 ({digits(3)}) 555-{digits(4)}", lambda: f"{r.choice(VOCABULARY)}.{r.choice(VOCABULARY)}@example.com", luhn_card)
+    texts = [f"{prose(i, 10)} {makers[i % 3]()} {prose(i + 1, 8)} version 2.0 in {digits(4)}" for i in range(500)]
+    return pii.Model(pii.learn(pii.training_zones(iter(texts))))
+
+
+def luhn_card(r=random.Random(10)):
+    while not pii.luhn(d := "4" + "".join(r.choice("0123456789") for _ in range(15))):
+        pass
+    return d
+
+
+def test_pii_long_lists_have_no_seams():
+    model = learnt()
+    cards = [luhn_card() for _ in range(200)]
+    assert pii.all_spans(model, " ".join(cards))[1] == [(17 * i, 2, 17 * i + 16) for i in range(200)]
+    joined = ",".join(f"ab{i}.x[at]mail{i % 7}.example.com" for i in range(200))
+    assert list(pii.zones(joined, [])) == [(0, len(joined))]
+    run = "x" * 60
+    (start, end), *more = pii.zones(f"7{run}{run}@{run}{run}{run}", [])
+    assert (start, end) == (0, 185) and not more  # a local part that begins more than 64 places after a digit
+    pii.all_spans(model, "12 " * 50_000)  # in linear time
+
+
 # 7
 
 
