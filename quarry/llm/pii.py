@@ -1,8 +1,8 @@
 """Personal data: rules, and a semi-Markov conditional random field that adds what the rules do not reach.
 
 The rules (`base_spans`) find e-mail addresses, IPv4 addresses, card numbers and phone numbers in linear time.  The
-model looks at zones: runs of words that hold a digit or an @ outside the rules' spans, or a written-out "at" between such
-words.  A zone is cut into atoms (runs of letters, of digits, of blanks; any other character alone); a segmentation gives
+model looks at zones: runs of words that hold a digit or an @ outside the rules' spans, or a written-out "at"
+("[at]", "(at)" or " at ") before a host with dots.  A zone is cut into atoms (runs of letters, of digits, of blanks; any other character alone); a segmentation gives
 each atom to an entity of at most MAX_ATOMS atoms and MAX_CHARS code points, or to none.  A candidate entity is scored by
 features of the whole span (its shape, digit and group counts, separators, check digit, octets, domain) and its borders;
 dynamic programming over all segmentations chooses boundaries and types together.  Spans that touch one of the
@@ -43,6 +43,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+_OPENER = re.compile(r"[0-9@]|(?:\[at\]|\(at\)|(?<=\x20)at(?=\x20))(?=\x20?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2})", re.I)
 _ATOM = re.compile(r"[A-Za-z]+|[0-9]+|[\x20\x09-\x0D]+|.", re.S)
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -95,18 +96,20 @@ def _word(text: str, at: int, whole: bool = True) -> tuple[int, int]:
         start -= 1
     reach = 2 * MAX_CHARS if whole else MAX_CHARS
     while end < len(text) and end - last < reach and text[end] not in c.BLANK:
-        if whole and _TRIGGER.match(text, end):
+        if whole and _OPENER.match(text, end):
             last = end
         end += 1
     return start, end if end == len(text) or text[end] in c.BLANK else last + MAX_CHARS
 
 
 def zones(text: str, spans: list[Span], everything: bool = False) -> Iterator[tuple[int, int]]:
-    """Runs of words with a trigger outside the spans (with `everything`, also inside them)."""
+    """Runs of words with a trigger or a written-out "at" outside the spans (with `everything`, which is for training,
+    triggers alone, inside them too)."""
     done, k = 0, 0
+    opener = _TRIGGER if everything else _OPENER
     by_end = sorted((e, s) for s, _, e in spans)
     at = 0
-    while m := _TRIGGER.search(text, at):
+    while m := opener.search(text, at):
         p = m.start()
         while k < len(by_end) and by_end[k][0] <= p:
             k += 1
@@ -120,7 +123,7 @@ def zones(text: str, spans: list[Span], everything: bool = False) -> Iterator[tu
         for _ in range(2):
             if before - 1 > done and text[before - 1] == " ":
                 s, e = _word(text, before - 2, not everything)
-                if e == before - 1 and (text[s:e].lower() in _AT_WORDS or text[before : before + 4].lower() in ("[at]", "(at)", "at ") or before == start and _TRIGGER.search(text, s, e)):
+                if e == before - 1 and (text[s:e].lower() in _AT_WORDS or text[before : before + 4].lower().startswith(("[at]", "(at)", "at ")) or before == start and _TRIGGER.search(text, s, e)):
                     before = max(s, done)
                     continue
             break
@@ -249,7 +252,7 @@ def decode(model: Model, text: str, start: int, end: int) -> list[Span]:
 
 def all_spans(model: Model, text: str) -> tuple[list[Span], list[Span]]:
     """The rules' spans, and those with the model's, both in order."""
-    if not _TRIGGER.search(text):
+    if not _OPENER.search(text):
         return [], []
     base = base_spans(text)
     starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))

@@ -309,6 +309,14 @@ def test_pii_long_lists_have_no_seams():
     pii.all_spans(model, "12 " * 50_000)  # in linear time
 
 
+def test_pii_written_out_addresses_without_digits():
+    model = learnt()
+    for text in ("write jane.doe [at] example.com now", "write jane.doe[at]example.com now", "write jane.doe (at) example.com now", "write jane.doe at example.com now"):
+        assert pii.all_spans(model, text) == ([], [(6, 0, len(text) - 4)])
+    assert pii.all_spans(model, "we met at noon. [at] the end (at) last") == ([], [])
+    pii.all_spans(model, "[at]" + "a" * 100_000)  # in linear time
+
+
 # 7
 
 
