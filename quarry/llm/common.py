@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import itertools
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, as in the class [\x20\x09-\x0D]; bytes.split() cuts at exactly these.
 BLANK = " \t\n\x0b\x0c\r"
@@ -24,9 +28,22 @@ U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
+def nested(df: DataFrame, **own: Column) -> DataFrame:
+    """Every row of df as the struct `row`, beside an operator's own columns: no name of df can clash with these."""
+    return df.select(F.struct(*(F.col(f"`{n}`") for n in df.columns)).alias("row"), *(x.alias(n) for n, x in own.items()))
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20  #: of a batch that Spark hands to a Python worker, unless the session says otherwise
+PIECE_BYTES = 4 << 20  #: of what a worker turns into Python objects at a time (a longer text is a piece of its own)
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application, so that they can import it."""
+    """Send this package to the Python workers, once for each application, so that they can import it; and bound the bytes
+    of their batches, which Spark's default lets grow to 64 MB a task, where the session doesn't set them itself."""
     sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if _BATCH not in spark.conf.getAll and not sc.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if getattr(sc, "_quarry_shipped", False) or not root.is_dir():
         return
     target = Path(tempfile.mkdtemp()) / "quarry.zip"
@@ -62,19 +79,21 @@ class Scratch:
     costs no more than the stage it ran.  Tables still needed by a lazy result go at interpreter exit."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.root, self.paths = spark, f"{scratch_dir(spark)}/quarry-{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.number = spark, f"{scratch_dir(spark)}/quarry-{uuid.uuid4().hex}", itertools.count()
         atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        path = f"{self.root}/{name}-{next(self.number)}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        if df is not None and (path := self.paths.get(id(df))):
-            drop_path(self.spark, path)
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Remove saved tables that nothing reads any more; other tables are left alone."""
+        for df in tables:
+            if path := getattr(df, "_scratch_path", None):
+                drop_path(self.spark, path)
 
     def close(self) -> None:
         try:
@@ -83,6 +102,38 @@ class Scratch:
             pass
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of at most PIECE_BYTES, without copies; a longer row is a run of its own."""
+    if batch.num_rows <= 1 or batch.nbytes <= PIECE_BYTES:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from pieces(batch.slice(0, half))
+    yield from pieces(batch.slice(half))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are reused, and what they keep lies beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A task over Arrow batches that sees them in pieces and gives its memory back when it ends."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(piece for batch in batches for piece in pieces(batch))
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, element by element."""
     x = (x ^ (x >> U64(30))) * _M1
@@ -90,17 +141,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def sifted(docs: DataFrame, run: Callable) -> DataFrame:
+    """The rows of docs that run (Arrow batches to Arrow batches, text among their columns) lets through, whatever docs' columns are called."""
+    plain = docs.toDF(*(n if n == "text" else f"c{i}" for i, n in enumerate(docs.columns)))
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)
+
+
 class WordHash(dict):
-    """word -> 64-bit hash, remembered for up to `limit` words."""
+    """word -> 64-bit hash, remembered for up to `limit` words of at most `longest` bytes."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 150_000, longest: int = 64) -> None:
         super().__init__()
-        self.limit = limit
+        self.limit, self.longest = limit, longest
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

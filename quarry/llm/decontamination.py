@@ -5,6 +5,7 @@ fewer than five words is one shingle of all its words).  Items are partitioned b
 of L/2 < n <= L shingles.  For each class a document's shingles are seen through windows of 2 L, one beginning every L: an item's passage lies
 whole in one of them, so containment in a document of any length becomes a Jaccard similarity of at least about 0.19
 with some window, and each of PROBES MinHash values is a band of its own (a miss has a chance of 0.81 ** PROBES).
+Items of at most FEW shingles need all of them at this containment, so they are looked up by one of them, exactly.
 Windows of larger classes are minima over those of smaller ones, so all classes cost little more than the first.
 Pairs that share a MinHash value are verified by exact containment over the whole document, on the words themselves.
 
@@ -12,8 +13,9 @@ The index goes to the workers in blocks of at most BLOCK_ITEMS items and BLOCK_B
 searched block after block, so what is broadcast is bounded.  Documents are never shuffled.
 
 Defined results: items without words (null, empty) are never found; texts without words hold no item; repeated items are
-found each; repeated documents are reported each by `find`, null doc_ids as null; extra columns are not read by `find` and kept by
-`drop_contaminated`.
+found each; repeated documents (ties) are reported each by `find`, null doc_ids as null; very long texts and items are searched
+whole; an empty table of documents or items gives an empty result (`drop_contaminated`: all documents); extra columns are not read by
+`find` and kept, whatever their names, by `drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ WIDTH = 5
 CONTAINMENT = 0.8
 PROBES = 48
 LEAST_CLASS = 8
+FEW = 4  #: shingles of which CONTAINMENT leaves none out
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 32_000_000
 _MASK = c.U64((1 << 18) - 1)
@@ -46,9 +49,10 @@ def minhash(h: np.ndarray, j: int) -> np.ndarray:
 
 
 class Index:
-    """By shingle width and size class, the MinHash values of items; and the items' shingles."""
+    """By shingle width and size class, the MinHash values of items; and the items' shingles.  Class 0 holds items that are
+    found by their least shingle (those of which `least` asks for all shingles)."""
 
-    def __init__(self, items: list[tuple[int, bytes]]) -> None:
+    def __init__(self, items: list[tuple[int, bytes]], least: float = CONTAINMENT) -> None:
         hasher = c.WordHash()
         self.ids, self.words, self.shingles, self.parts = [], [], [], {}
         members: dict[tuple[int, int], list[int]] = {}
@@ -58,14 +62,15 @@ class Index:
                 continue
             width = min(WIDTH, len(words))
             h, _ = c.shingle_hashes(hasher.of(words), np.array([0, len(words)]), width)
-            size = max(LEAST_CLASS, 1 << (len(h) - 1).bit_length())
+            n = len(np.unique(h))
+            size = 0 if n <= FEW and n - 1 < least * n else max(LEAST_CLASS, 1 << (len(h) - 1).bit_length())
             members.setdefault((width, size), []).append(len(self.ids))
             self.ids.append(item)
             self.words.append(words)
             self.shingles.append(np.unique(h))
         for (width, size), who in members.items():
             tables = []
-            for j in range(PROBES):
+            for j in range(PROBES if size else 1):
                 values = np.array([minhash(self.shingles[i], j).min() for i in who], c.U64)
                 order = np.argsort(values, kind="stable")
                 seen = np.zeros(int(_MASK) + 1, bool)
@@ -91,24 +96,30 @@ class Index:
             at = begin[owner] + (np.arange(first[-1]) - first[owner]) * per
             plans.append((size, at, owner, first))
             begin, count, per, size = first[:-1], blocks, 2, size * 2
-        for j in range(PROBES):
+
+        def look_up(table: tuple, window: np.ndarray, owner: np.ndarray) -> None:
+            seen, values, who = table
+            low = (window & _MASK).astype(np.int64)
+            hit = np.flatnonzero(seen[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+            if len(hit):
+                v = window[hit]
+                lo, hi = np.searchsorted(values, v), np.searchsorted(values, v, side="right")
+                times = hi - lo
+                texts.append(np.repeat(some[owner[hit]], times))
+                items.append(who[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)])
+
+        if 0 in sizes:
+            look_up(sizes[0][0], minhash(h, 0), np.repeat(np.arange(len(some)), n[some]))
+        for j in range(PROBES if max(sizes) else 0):
             level = minhash(h, j)
             for size, at, owner, first in plans:
                 level = np.minimum.reduceat(level, at)
                 if size not in sizes:
                     continue
-                seen, values, who = sizes[size][j]
                 window = level.copy()
                 same = owner[1:] == owner[:-1]
                 window[:-1] = np.where(same, np.minimum(level[:-1], level[1:]), level[:-1])
-                low = (window & _MASK).astype(np.int64)
-                hit = np.flatnonzero(seen[low >> 3] >> (low & 7).astype(np.uint8) & 1)
-                if len(hit):
-                    v = window[hit]
-                    lo, hi = np.searchsorted(values, v), np.searchsorted(values, v, side="right")
-                    times = hi - lo
-                    texts.append(np.repeat(some[owner[hit]], times))
-                    items.append(who[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)])
+                look_up(sizes[size][j], window, owner)
         if not texts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         both = np.unique(np.concatenate(texts) * len(self.ids) + np.concatenate(items))
@@ -135,14 +146,14 @@ class Index:
                         yield int(t), int(i), len(wanted), found
 
 
-def blocks(items: DataFrame) -> Iterator[Index]:
+def blocks(items: DataFrame, least: float = CONTAINMENT) -> Iterator[Index]:
     """Indexes over the items (item_id, text), each of bounded size."""
     total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).collect()[0]
     parts = max(1, math.ceil(total["n"] / (BLOCK_ITEMS / 2)) if total["n"] > BLOCK_ITEMS else 1, math.ceil(total["b"] / (BLOCK_BYTES / 2)) if total["b"] > BLOCK_BYTES else 1)
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     for k in range(parts):
         own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield Index([(r["item_id"], (r["text"] or "").encode()) for r in own.collect()])
+        yield Index([(r["item_id"], (r["text"] or "").encode()) for r in own.collect()], least)
 
 
 _FOUND = "doc_id long, item_id long, n_shingles int, n_found int, containment double"
@@ -153,7 +164,7 @@ def find(docs: DataFrame, items: DataFrame, least: float = CONTAINMENT) -> DataF
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for index in blocks(items):
+    for index in blocks(items, least):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -165,14 +176,14 @@ def find(docs: DataFrame, items: DataFrame, least: float = CONTAINMENT) -> DataF
                 columns = list(zip(*got, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "item_id", "n_shingles", "n_found", "containment"])
 
-        found = rows.mapInArrow(run, _FOUND)
+        found = rows.mapInArrow(c.lean(run), _FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = CONTAINMENT) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item."""
-    for index in blocks(items):
+    for index in blocks(items, least):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -184,7 +195,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = CONTAINM
                         clean[start + t] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = c.sifted(docs, run)
     return docs
 
 

@@ -13,9 +13,10 @@ sorted whole: n documents are cut into sqrt(n) ranges of the hash, counts of ran
 group's last taken document lies, and only the rows of that range are ranked, for the hash at which taking ends.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own, last in
-order; rows that repeat both doc_id and text within a source share one decision (the fit may then miss by their
-sizes); an empty table gives an empty result.  Extra columns are kept by `mix`, whatever their names, unless they start with
-an underscore.  The sources themselves (one short row each) are handled by the driver.
+order; rows that repeat both doc_id and text within a source share one decision, ties between them are not broken (the fit may
+then miss by their sizes); a very long text is one document of its length; a null doc_id is one like any other; an empty table
+gives an empty result.  Extra columns are kept, whatever their names, by `mix`.  The sources themselves (one short row each) are
+handled by the driver.
 """
 
 from __future__ import annotations
@@ -119,11 +120,9 @@ def source_plan(histogram: DataFrame, **options) -> DataFrame:
     return spark.createDataFrame(rows, "_source string, _sid int, _source_size long, _target double, _passes int, _rest long")
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """docs with _size and two hashes that name and order its rows."""
-    return docs.withColumns(
-        {"_size": size_of(F.col("text")), "_source": F.col("source"), "_h": F.xxhash64(F.lit(SEED), "doc_id", "text"), "_h2": F.xxhash64("text", "doc_id", F.lit(SEED))}
-    )
+def _own() -> dict[str, Column]:
+    """_size, _source, and two hashes that name and order a row, from the columns of documents."""
+    return {"_size": size_of(F.col("text")), "_source": F.col("source"), "_h": F.xxhash64(F.lit(SEED), "doc_id", "text"), "_h2": F.xxhash64("text", "doc_id", F.lit(SEED))}
 
 
 def _group_plan(narrow: DataFrame, sources: DataFrame, histogram: DataFrame, scratch: c.Scratch) -> DataFrame:
@@ -149,8 +148,12 @@ def _decided(rows: DataFrame, sources: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("_taken", F.when(F.col("_size") > 0, F.col("_size") * (F.col("_passes") + extra)).otherwise(0).cast("long"))
 
 
+def _results() -> list[Column]:
+    return [F.col(f"_{n}").alias(n) for n in ("size", "source_size", "target", "taken")]
+
+
 def _planned(docs: DataFrame, scratch: c.Scratch, options: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
-    narrow = scratch.save(_named(docs.select("doc_id", "source", "text")).select("doc_id", "_source", "_size", "_h", "_h2"), "sizes")
+    narrow = scratch.save(docs.select("doc_id", *(x.alias(n) for n, x in _own().items())), "sizes")
     histogram = scratch.save(narrow.groupBy("_source", "_size").agg(F.count("*").alias("_n")), "histogram")
     sources = source_plan(histogram, **options)
     with_sid = narrow.join(sources.select("_sid", F.col("_source").alias("_name")), F.col("_source").eqNullSafe(F.col("_name"))).select("_sid", "_size", "_h", "_h2")
@@ -158,13 +161,12 @@ def _planned(docs: DataFrame, scratch: c.Scratch, options: dict) -> tuple[DataFr
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with _size, _source_size, _target and _taken (tokens that the mix takes of the row, repeats counted)."""
+    """Every row of docs as the struct `row`, with size, source_size, target and taken (tokens that the mix takes of the row,
+    repeats counted)."""
     _, sources, plan = _planned(docs, c.Scratch(docs.sparkSession), options)
-    return _decided(_named(docs), sources, plan).select(*docs.columns, "_size", "_source_size", "_target", "_taken")
+    return _decided(c.nested(docs, **_own()), sources, plan).select("row", *_results())
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow, sources, plan = _planned(c.table(spark, sf_dir, "documents"), c.Scratch(spark), {})
-    return _decided(narrow, sources, plan).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken")
-    )
+    return _decided(narrow, sources, plan).select("doc_id", *_results())

@@ -28,8 +28,9 @@ All intermediate tables are narrow (hashes), except for the texts of nodes that
 written tables, so that adaptive execution can split a hot bucket, centre or class.
 
 Defined results: texts without words are never duplicates of anything; rows with a null doc_id are not compared and have
-a null class; rows that repeat a doc_id are compared each, and the class is told by doc_id (with repeated doc_ids and
-different texts, the least class); an empty table gives an empty result; extra columns are not read by `classes` and kept by `drop_duplicates`.
+a null class; rows that repeat a doc_id are compared each, and the class is told by doc_id (ties: the least doc_id names a class);
+very long texts are compared whole; an empty table gives an empty result; extra columns are not read by `classes` and kept,
+whatever their names, by `drop_duplicates`.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import common as c
@@ -48,7 +49,7 @@ from quarry.llm import common as c
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-CELLS = 1 << 24  #: bits of the sieve that keeps texts which cannot be wanted out of a shuffle
+SIEVE_BITS, MAX_SIEVE = 16, 1 << 28  #: bits for each wanted document, and in all (32 MB), of the sieve that keeps other texts out of a shuffle
 LIKELY = 0.5  #: least share of equal samples for a pair whose texts are compared
 SKETCH, SKETCH_ROWS, SKETCH_PARTS = 1 << 18, 2, 16
 
@@ -115,12 +116,12 @@ def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarra
     return short, keys
 
 
-_PASS1 = "doc_id long, node binary, n_words int, part int, counts binary"
+_PASS1 = "doc_id long, k1 long, k2 long, node binary, part int, counts binary"
 
 
 def _nodes_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher, sketch = c.WordHash(), np.zeros((SKETCH_ROWS, SKETCH), np.int64)
-    names = ["doc_id", "node", "n_words", "part", "counts"]
+    names = ["doc_id", "k1", "k2", "node", "part", "counts"]
     for batch in batches:
         for start, texts in c.chunks(batch, "text"):
             lists = [c.plain_words(t) for t in texts]
@@ -130,9 +131,9 @@ def _nodes_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             for row, at in zip(sketch, cells(once), strict=True):
                 row += np.bincount(at, minlength=SKETCH)
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(map(node_of, lists), pa.binary()), pa.array([len(x) for x in lists], pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, n) for k in range(3)), pa.array(map(node_of, lists), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     for part, block in enumerate(np.split(sketch, SKETCH_PARTS, axis=1)):
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([part], pa.int32()), pa.array([pa.compress(block.tobytes(), codec="zstd", asbytes=True)])], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), pa.array([part], pa.int32()), pa.array([pa.compress(block.tobytes(), codec="zstd", asbytes=True)])], names=names)
 
 
 def _block(data: bytes) -> np.ndarray:
@@ -152,7 +153,7 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _idf(first: DataFrame) -> Idf:
     schema = "part int, counts binary"
-    parts = first.where("part IS NOT NULL").select("part", "counts").mapInArrow(_add_blocks, schema).repartition(SKETCH_PARTS, "part").mapInArrow(_add_blocks, schema)
+    parts = first.where("part IS NOT NULL").select("part", "counts").mapInArrow(c.lean(_add_blocks), schema).repartition(SKETCH_PARTS, "part").mapInArrow(c.lean(_add_blocks), schema)
     sketch = np.zeros((SKETCH_ROWS, SKETCH), np.int64)
     for r in parts.collect():  # SKETCH_PARTS rows of a fixed size
         width = SKETCH // SKETCH_PARTS
@@ -272,23 +273,25 @@ _PAIR = "centre binary, node binary"
 
 
 def _sieve(wanted: DataFrame):
-    """A column function that is false only for doc_ids that wanted lacks: CELLS bits, whatever the number of rows."""
-    cell = lambda x: F.pmod(F.xxhash64(x), F.lit(CELLS))
+    """A column function that is false only for doc_ids that wanted lacks: SIEVE_BITS for each row of wanted, MAX_SIEVE at most."""
+    cells = max(64, min(MAX_SIEVE, 1 << (SIEVE_BITS * wanted.count() - 1).bit_length()))
+    cell = lambda x: F.pmod(F.xxhash64(x), F.lit(cells))
     words = wanted.select(cell(F.col("doc_id")).alias("c")).groupBy(F.floor(F.col("c") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("bits"))
-    got, bits = words.toArrow(), np.zeros(CELLS // 64, np.int64)
+    got, bits = words.toArrow(), np.zeros(cells // 64, np.int64)
     bits[got.column("w").to_numpy()] = got.column("bits").to_numpy()
-    shared = wanted.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+    shared = wanted.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
     @F.arrow_udf("boolean")
     def passes(c: pa.Array) -> pa.Array:
-        return pa.array(shared.value[c.to_numpy()].astype(bool))
+        at = c.to_numpy()
+        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
     return lambda x: passes(cell(x))
 
 
-def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scratch) -> DataFrame:
-    """(node, root) of nodes that links connect."""
-    signatures = scratch.save(docs.select("text").mapInArrow(_signatures(idf), _SIGNATURE).dropDuplicates(["node"]), "signatures")
+def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of nodes that links connect, and the links (centre, node)."""
+    signatures = scratch.save(docs.select("text").mapInArrow(c.lean(_signatures(idf)), _SIGNATURE).dropDuplicates(["node"]), "signatures")
     shorts = signatures.select("node", "samples")
     bands = signatures.select("node", F.posexplode("keys").alias("band", "key"))
     buckets = scratch.save(bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n"), "buckets")
@@ -298,34 +301,39 @@ def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scra
     def likely(pairs: DataFrame) -> DataFrame:
         one = scratch.save(pairs.join(shorts, "node").select("centre", "node", F.col("samples").alias("b")), "one_side")
         both = one.join(shorts.select(F.col("node").alias("centre"), F.col("samples").alias("a")), "centre").select("centre", "node", "a", "b")
-        return scratch.save(both.mapInArrow(_likely, _PAIR), "likely")
+        out = scratch.save(both.mapInArrow(c.lean(_likely), _PAIR), "likely")
+        scratch.drop(one)
+        return out
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = scratch.save(nodes.join(reps, "node"), "wanted")
-        return scratch.save(docs.where(_sieve(wanted)(F.col("doc_id"))).join(wanted, "doc_id").select("node", "text").mapInArrow(_texts, "node binary, text string"), "texts")
+        out = scratch.save(docs.where(_sieve(wanted)(F.col("doc_id"))).join(wanted, "doc_id").select("node", "text").mapInArrow(c.lean(_texts), "node binary, text string"), "texts")
+        scratch.drop(wanted)
+        return out
 
     def compared(pairs: DataFrame) -> DataFrame:
         """The links among likely pairs, by their texts."""
         texts = texts_of(pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct())
         one = scratch.save(pairs.join(texts, "node").select("centre", "node", F.col("text").alias("_b")), "with_one")
         both = one.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("_a")), "centre").select("centre", "node", "_a", "_b")
-        out = scratch.save(both.mapInArrow(_compare(idf), f"{_PAIR}, similarity double").where(F.col("similarity") >= least).select("centre", "node"), "links")
-        scratch.drop(one)
-        scratch.drop(texts)
+        out = scratch.save(both.mapInArrow(c.lean(_compare(idf)), f"{_PAIR}, similarity double").where(F.col("similarity") >= least).select("centre", "node"), "links")
+        scratch.drop(one, texts, pairs)
         return out
 
     def mixed(roots: DataFrame) -> DataFrame:
         """(node, root, open): nodes in buckets of more than one root, with the bands of these."""
         rooted = scratch.save(members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "rooted_members")
         several = rooted.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band", "key")
-        return scratch.save(rooted.join(several, ["band", "key"]).groupBy("node", "root").agg(F.collect_set("band").alias("open")), "split")  # at most BANDS to a node
+        out = scratch.save(rooted.join(several, ["band", "key"]).groupBy("node", "root").agg(F.collect_set("band").alias("open")), "split")  # at most BANDS to a node
+        scratch.drop(rooted)
+        return out
 
     pairs = members.where(F.col("node") != F.col("centre")).select("centre", "node").distinct()
     links = compared(likely(pairs))
     roots = components(links, scratch)
     split = mixed(roots)
     if split.isEmpty():
-        return roots
+        return roots, links
     other = F.transform("open", lambda b: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.when(k != b, F.struct(F.least(b, k).alias("b"), F.greatest(b, k).alias("k")))))
     both = F.array_distinct(F.filter(F.flatten(other), lambda x: x.isNotNull()))
     parts = split.join(signatures.select("node", "keys"), "node").select("node", "root", "keys", F.explode(both).alias("x"))
@@ -335,13 +343,20 @@ def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scra
     heads = scratch.save(heads.select("part", F.col("h.node").alias("centre"), F.col("h.root").alias("centre_root")), "heads")
     more = parts.join(heads, "part").where(F.col("root") != F.col("centre_root")).select("centre", "node").distinct()
     links = links.unionByName(compared(likely(more.join(pairs, ["centre", "node"], "left_anti"))))
+    scratch.drop(split, parts, heads, roots)
     roots = components(links, scratch)
     split = mixed(roots)
     if split.isEmpty():
-        return roots
-    rows = split.select("node", "root").join(texts_of(split.select("node")), "node").select("node", "root", "text")
-    rows = scratch.save(rows.mapInArrow(_starts(idf, least), _START), "starts")
-    return components(links.unionByName(compared(likely(scratch.save(_meeting(rows, least), "met")))), scratch)
+        return roots, links
+    texts = texts_of(split.select("node"))
+    rows = split.select("node", "root").join(texts, "node").select("node", "root", "text")
+    rows = scratch.save(rows.mapInArrow(c.lean(_starts(idf, least)), _START), "starts")
+    scratch.drop(texts, split, roots)
+    met = scratch.save(_meeting(rows, least), "met")
+    scratch.drop(rows)
+    links = links.unionByName(compared(likely(met)))
+    scratch.drop(met, signatures, buckets, members)
+    return components(links, scratch), links
 
 
 def components(links: DataFrame, scratch: c.Scratch) -> DataFrame:
@@ -351,35 +366,65 @@ def components(links: DataFrame, scratch: c.Scratch) -> DataFrame:
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
         step = scratch.save(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root")), "step")
+        scratch.drop(labels)
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        after = scratch.save(step.join(jump, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("old")).alias("moved")), "labels")
-        labels = after.select("node", "root")
-        if after.where("moved").isEmpty():
+        labels = scratch.save(step.join(jump, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("old")).alias("moved")), "labels")
+        scratch.drop(step)
+        if labels.where("moved").isEmpty():
+            scratch.drop(edges)
             return labels
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, scratch: c.Scratch | None = None) -> DataFrame:
-    """doc_id, copy_id and class_id of every row of docs (doc_id, text): the least doc_id with the same words, and the
-    least doc_id of all documents that links connect with it."""
-    spark, scratch = docs.sparkSession, scratch or c.Scratch(docs.sparkSession)
+def _keyed(docs: DataFrame) -> dict[str, Column]:
+    """Two longs that name a row by its doc_id and text."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text")
+    return {"k1": F.xxhash64(doc_id, text), "k2": F.xxhash64(F.lit("near"), text, doc_id)}
+
+
+def _rows(docs: DataFrame, least: float, scratch: c.Scratch) -> DataFrame:
+    """(doc_id, k1, k2, node, root, copy_id, class_id, n_links) of every row of docs; the last four are null where nothing is compared."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = scratch.save(docs.mapInArrow(_nodes_and_sketch, _PASS1), "first")
+    keyed = docs.select("doc_id", *(x.alias(n) for n, x in _keyed(docs).items()), "text")
+    first = scratch.save(keyed.mapInArrow(c.lean(_nodes_and_sketch), _PASS1), "first")
     idf = spark.sparkContext.broadcast(_idf(first))
-    labels = _links(docs.where("doc_id IS NOT NULL"), first, idf, least, scratch)
-    rows = first.where("part IS NULL").select("doc_id", "node")
+    labels, links = _links(docs.where("doc_id IS NOT NULL"), first, idf, least, scratch)
+    rows = first.where("part IS NULL").select("doc_id", "k1", "k2", "node")
     copies = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("copy_id"))
-    rooted = scratch.save(copies.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    least_of = rooted.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    named = scratch.save(rooted.join(scratch.save(least_of, "least"), "root").select("node", "copy_id", "class_id"), "named")
-    return rows.join(named, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("copy_id", "doc_id")).alias("copy_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    rooted = scratch.save(copies.join(labels.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least_of = scratch.save(rooted.groupBy("root").agg(F.min("copy_id").alias("class_id")), "least")
+    each = links.select(F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node")).distinct()
+    degree = each.select(F.explode(F.array("centre", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    named = scratch.save(rooted.join(least_of, "root").join(degree, "node", "left").select("node", "root", "copy_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    return rows.join(named, (rows["node"] == named["node"]) & rows["doc_id"].isNotNull(), "left").select("doc_id", "k1", "k2", rows["node"], "root", "copy_id", "class_id", "n_links")
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, scratch: c.Scratch | None = None) -> DataFrame:
+    """doc_id, copy_id, class_id and n_links of every row of docs (doc_id, text): the least doc_id with the same words, the
+    least doc_id of all documents that links connect with it, and the number of other texts that are linked with its own
+    (links that were not needed to tell the classes are not counted)."""
+    rows = _rows(docs, least, scratch or c.Scratch(docs.sparkSession))
+    own = lambda x: F.when(F.col("doc_id").isNotNull(), x)
+    return rows.select("doc_id", own(F.coalesce("copy_id", "doc_id")).alias("copy_id"), own(F.coalesce("class_id", "doc_id")).alias("class_id"), own(F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
 def drop_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row of each class, that of the least doc_id, with all its columns; rows with a null doc_id stay."""
+    """One row of each class, that of the least doc_id, with all its columns; rows with a null doc_id or without words stay.
+
+    A row goes only for a similar text that stays: rows are told apart by doc_id and text, not by doc_id alone.
+    """
     scratch = c.Scratch(docs.sparkSession)
-    kept = scratch.save(classes(docs, least, scratch).groupBy("doc_id").agg(F.min("class_id").alias("_class")).where("doc_id = _class").select("doc_id"), "kept")
-    one = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    rows = scratch.save(_rows(docs, least, scratch).where("root IS NOT NULL").select("root", F.struct("doc_id", "k1", "k2").alias("r")), "rows")
+    best = scratch.save(rows.groupBy("root").agg(F.min("r").alias("best")), "best")
+    told = scratch.save(rows.join(best, "root").groupBy("r.k1", "r.k2").agg(F.first(F.col("r") == F.col("best")).alias("stays"), F.count("*").alias("n")), "told")
+    scratch.drop(rows, best)
+    twice = told.where("stays AND n > 1").select("k1", "k2")
+    keyed = c.nested(docs, **_keyed(docs), known=F.col("doc_id").isNotNull())
+    known = keyed.where("known")
+    out = known.join(told.where("NOT stays OR n > 1").select("k1", "k2"), ["k1", "k2"], "left_anti").unionByName(keyed.where("NOT known").select("k1", "k2", "row", "known"))
+    if not twice.isEmpty():
+        out = out.unionByName(known.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    return out.select("row.*")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ sample: FIT_TEXTS texts, at most FIT_ZONES zones, with the rules' spans as label
 rewritten in a way the rules miss (no plus sign, dots between groups, "[at]" or " at " for @).
 
 Defined results: a null or empty text has no spans; offsets are code points, ends exclusive; repeated rows are scanned
-each; without any training zone the model adds nothing; extra columns are not read.
+each (ties in starts go by kind); a very long text is read whole, a null doc_id is kept as null; an empty table gives an
+empty result; without any training zone the model adds nothing; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -357,7 +358,7 @@ def train(docs: DataFrame) -> dict[str, tuple[float, ...]]:
     chosen = hot.where(F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(1 << 30)) < int(part * (1 << 30)))
     order = F.xxhash64("doc_id", F.lit("order"))
     rows = chosen.select("text", order.alias("_o")).repartition(1).sortWithinPartitions("_o", "text").select("text")
-    return {r["feature"]: tuple(r["weights"]) for r in rows.mapInArrow(_fit, "feature string, weights array<double>").collect()}
+    return {r["feature"]: tuple(r["weights"]) for r in rows.mapInArrow(c.lean(_fit), "feature string, weights array<double>").collect()}
 
 
 _OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
@@ -383,7 +384,7 @@ def _find(weights):
 def find(spark: SparkSession, docs: DataFrame, weights: dict) -> DataFrame:
     """doc_id, counts of the rules' spans by kind, these spans and all spans (kind:start:end, joined by commas)."""
     shared = spark.sparkContext.broadcast(weights)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find(shared), _OUT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(c.lean(_find(shared)), _OUT)
 
 
 def redact(text: str, model: Model) -> str:

@@ -6,12 +6,13 @@ known beforehand how many pieces are popped from its front and at which node the
 read once, byte by byte, and only counts are added: no piece is ever built.  The vocabulary holds all single
 bytes (they are added if it does not), so every word can be cut.
 
-The vocabulary is a file of base64 tokens and ranks; its path is a parameter.  It is read by the driver and
-broadcast as arrays, after a check of its size (MAX_VOCABULARY tokens).  Counts of words are remembered by each task
-for up to `MEMORY` words, which changes nothing but the time.
+The vocabulary is a file of base64 tokens and ranks; its path is a parameter.  It is read by the driver, which builds the
+automaton once and broadcasts it as arrays, after a check of its size (MAX_VOCABULARY tokens).  Counts of words are
+remembered by each task for up to `MEMORY` words of at most `LONGEST` bytes, which changes nothing but the time.
 
-Defined results: a null or empty text has 0 words, 0 tokens and 0 bytes; repeated rows are counted each; extra columns
-are not read.
+Defined results: a null or empty text has 0 words, 0 tokens and 0 bytes; repeated rows (ties) are counted each; a null doc_id
+is counted like any other; a very long text is counted whole, a very long word without being remembered; an empty table gives an
+empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from quarry.llm import common as c
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY = 2_000_000
-MEMORY = 400_000
+MEMORY, LONGEST = 150_000, 64
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
@@ -70,6 +71,13 @@ class Automaton:
                 at, popped = self.back[at], popped + self.pops[at]
             self.back[node], self.pops[node] = go[at << 8 | b], popped
 
+    def __getstate__(self) -> tuple[np.ndarray, ...]:
+        return np.fromiter(self.go, np.int64, len(self.go)), np.fromiter(self.go.values(), np.int32, len(self.go)), np.array(self.back, np.int32), np.array(self.pops, np.int32)
+
+    def __setstate__(self, arrays: tuple[np.ndarray, ...]) -> None:
+        keys, nodes, back, pops = (x.tolist() for x in arrays)
+        self.go, self.back, self.pops = dict(zip(keys, nodes, strict=True)), back, pops
+
     def count(self, word: bytes) -> int:
         go, back, pops, node, n = self.go, self.back, self.pops, 0, 0
         for b in word:
@@ -91,18 +99,20 @@ class _Counts(dict):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        n = self[word] = self.automaton.count(b" " + word)
+        n = self.automaton.count(b" " + word)
+        if len(word) <= LONGEST:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[word] = n
         return n
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, n_bytes, n_words and n_tokens of every row of docs (doc_id, text)."""
-    shared = spark.sparkContext.broadcast(read_vocabulary(path))
+    shared = spark.sparkContext.broadcast(Automaton(read_vocabulary(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(Automaton(shared.value))
+        counts = _Counts(shared.value)
         for batch in batches:
             texts = c.as_bytes(batch.column(1))
             out = np.zeros((3, len(texts)), np.int64)
@@ -112,7 +122,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY) -
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], names=["doc_id", "n_bytes", "n_words", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_words long, n_tokens long")
+    return rows.mapInArrow(c.lean(run), "doc_id long, n_bytes long, n_words long, n_tokens long")
 
 
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

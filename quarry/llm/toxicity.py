@@ -1,16 +1,17 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the distinct hashes of its words, of pairs of neighbours, and of pairs with one or
-two words between them.  Training is online: one task streams a bounded sample of labelled texts, epoch after
-epoch in a seeded order, and keeps only two arrays of 2**bits floats (per-coordinate sums), whatever
-the texts' length.  The L1 term leaves few weights; they are collected (at most `2**bits`, in practice some
+two words between them.  Training is online: one task gets each text of a bounded sample once, keeps its slots
+(sorted, delta-coded and compressed) and two arrays of 2**bits floats (per-coordinate sums), and learns epoch after
+epoch in a seeded order.  The L1 term leaves few weights; they are collected (at most `2**bits`, in practice some
 thousands), broadcast, and each text is scored where it lies: no shuffle of the corpus.
 
-Defined results: a null or empty text has no features and scores the intercept alone; null doc_ids are
-never trained on and are held out of nothing (held_out is null); labels that are null, or on rows without a
-document, are left out; a doc_id with several labels counts as its largest; repeated documents are scored
-each; without labels of both classes every score is the share of label 1 (0 with no labels).  Extra
-columns are dropped by `score`, and kept by `drop_toxic`.
+Defined results: a null or empty text has no features and scores the intercept alone (ties in scores are
+left as they are); null doc_ids are never trained on and are held out of nothing (held_out is null); labels that are
+null, or on rows without a document, are left out; a doc_id with several labels counts as its largest, one with several
+texts is learnt from its least text; repeated documents are scored each; a very long text is one text like any other;
+without labels of both classes every score is the share of label 1 (0 with no labels); an empty table gives an empty
+result.  Extra columns are not read by `score`, and kept by `drop_toxic`, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ SAMPLE_PER_CLASS = 6000  #: the bound on labelled rows of each class that traini
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.0
 HOLDOUT = 5
+SEED = 1  #: of the order in which epochs see the sample
 _GAPS = (1, 2, 3)
 
 
@@ -65,21 +67,27 @@ class Ftrl:
         self.bias -= self.alpha / (self.beta + math.sqrt(self.bias_n)) * g
 
 
-def _train(bits: int):
+def _train(bits: int, epochs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hasher = Ftrl(bits), c.WordHash()
+        model, hasher, held = Ftrl(bits), c.WordHash(), []
         for batch in batches:
             labels = batch.column(1).to_pylist()
             for start, texts in c.chunks(batch, "text"):
                 for k, text in enumerate(texts):
                     words = c.plain_words(text)
-                    slots, _ = features(hasher.of(words), np.array([0, len(words)]), bits)
-                    model.learn(np.unique(slots), labels[start + k])
+                    slots = np.unique(features(hasher.of(words), np.array([0, len(words)]), bits)[0])
+                    held.append((labels[start + k], len(slots), pa.compress(np.diff(slots, prepend=0).astype(np.int32).tobytes(), codec="lz4", asbytes=True)))
+        order = np.random.default_rng(SEED)
+        for _ in range(epochs):
+            for at in order.permutation(len(held)):
+                label, n, data = held[at]
+                steps = pa.decompress(data, decompressed_size=4 * n, codec="lz4", asbytes=True)
+                model.learn(np.cumsum(np.frombuffer(steps, np.int32), dtype=np.int64), label)
         at = np.flatnonzero(np.abs(model.z) > model.l1)
         w = model.weights(model.z[at], model.n[at]).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w, model.bias))], names=["slot", "weight"])
 
-    return run
+    return c.lean(run)
 
 
 def train(docs: DataFrame, labels: DataFrame, keep=None, bits: int = BITS, per_class: int = SAMPLE_PER_CLASS, epochs: int = EPOCHS) -> dict:
@@ -103,12 +111,13 @@ def train(docs: DataFrame, labels: DataFrame, keep=None, bits: int = BITS, per_c
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")  # at most about 2 * per_class short rows
-        .select("text", "_label", F.explode(F.array(*[F.lit(e) for e in range(epochs)])).alias("_epoch"), "doc_id")
+        .groupBy("doc_id", "_label")
+        .agg(F.min("text").alias("text"))  # one text to a sampled doc_id, however often it is repeated
         .repartition(1)
-        .sortWithinPartitions("_epoch", F.xxhash64("doc_id", "_epoch", F.lit("order")), "text")
+        .sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id")
         .select("text", "_label")
     )
-    got = rows.mapInArrow(_train(bits), "slot long, weight double").toArrow()
+    got = rows.mapInArrow(_train(bits, epochs), "slot long, weight double").toArrow()
     slots, weights = got.column("slot").to_numpy(), got.column("weight").to_numpy()
     bias = float(weights[slots == -1].sum())
     on = slots >= 0
@@ -140,7 +149,7 @@ def _scorer(model, columns: list[str]):
                     score[start : start + len(texts)] = 1 / (1 + np.exp(-np.clip(x, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in columns), pa.array(score)], names=[*columns, "score"])
 
-    return run
+    return c.lean(run)
 
 
 def score(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
@@ -160,7 +169,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
             for scored in scorer(iter([batch])):
                 yield batch.filter(pa.array(scored.column(0).to_numpy() < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return c.sifted(docs, run)
 
 
 def held_out(doc_id):

@@ -158,7 +158,7 @@ def _ranked(rows: DataFrame, curves, curve: int, width: int, scratch: c.Scratch)
             keys = np.where(q, curves.value.keys(curve, x, True), curves.value.keys(curve, x))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=["point", "x", "is_query", "key"])
 
-    keyed = rows.mapInArrow(run, f"point long, x {kind}, is_query boolean, key long")
+    keyed = rows.mapInArrow(c.lean(run), f"point long, x {kind}, is_query boolean, key long")
     order = ["key", "point", "is_query"]
     parts = scratch.save(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), f"curve{curve}")
     one = F.when(F.col("is_query"), 0).otherwise(1)
@@ -181,7 +181,7 @@ def _truth(points: DataFrame, asked: list, width: int, k: int) -> dict[int, list
                 names, x = own.value
                 yield _lists(names, *best(x, matrix(batch.column(1), width), batch.column(0).to_numpy(), k))
 
-    got = points.select("point", "x").mapInArrow(run, _LISTS).groupBy("query").applyInArrow(_merged(k), _LISTS)
+    got = points.select("point", "x").mapInArrow(c.lean(run), _LISTS).groupBy("query").applyInArrow(_merged(k), _LISTS)
     return {r["query"]: r["points"] for r in got.collect()}
 
 
@@ -247,7 +247,7 @@ def search(vectors: DataFrame, is_query, k: int = K, curves: int = CURVES, goal:
         block = F.explode(F.when(F.col("is_query"), F.sequence(low, high)).otherwise(F.array(F.floor(F.col("rank") / BLOCK).cast("long"))))
         own = r.select(block.alias("block"), "is_query", "point", "x").withColumn("block", F.col("block") + n * (last + 1))
         visits = own if visits is None else visits.unionByName(own)
-    met = visits.repartition("block").sortWithinPartitions("block", "is_query").mapInArrow(_visit(width, k + 1), _LISTS)
+    met = visits.repartition("block").sortWithinPartitions("block", "is_query").mapInArrow(c.lean(_visit(width, k + 1)), _LISTS)
     nearest = scratch.save(met.groupBy("query").applyInArrow(_merged(k + 1), _LISTS), "nearest")
     found = nearest.select("query", F.explode(F.arrays_zip("scores", "points")).alias("f")).select("query", F.col("f.scores").alias("score"), F.col("f.points").alias("point"))
     named = scratch.save(found.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id")), "named")

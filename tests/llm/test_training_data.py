@@ -51,8 +51,10 @@ def empty(spark):
 
 
 def clashing(df):
-    """Extra columns named as operators' own outputs."""
-    return df.withColumns({n: F.lit("x") for n in ("score", "size", "key", "node", "rank", "word", "line", "n", "part")})
+    """Extra columns named as operators' own outputs and internals."""
+    names = ("score", "size", "key", "node", "rank", "word", "line", "n", "part", "row", "d1", "d2", "k1", "k2", "keep", "kept", "n_lines", "n_dropped", "cell", "lines", "gone", "h1", "pos", "root", "known", "taken", "target")
+    under = ("_sid", "_passes", "_h", "_h2", "_size", "_source", "_taken", "_d1", "_k1", "_drop", "_kept", "_n_lines", "_n_dropped", "_label", "_uid", "_scratch_path", "a.b")
+    return df.withColumns({n: F.lit("x") for n in (*names, *under)})
 
 
 # 1
@@ -117,15 +119,20 @@ def test_near_duplicates(spark, docs, empty):
             i = parent[i]
         return i
 
+    linked = set()
     for (i, a), (j, b) in itertools.combinations(plain, 2):
         if a and b and i != j and jaccard(a, b) >= 0.8:
             parent[max(root(i), root(j))] = min(root(i), root(j))
+            linked |= {i, j} if a != b else set()
     assert {i: cls[i] for i in parent} == {i: root(i) for i in parent}
     assert cls[100] == 100 and cls[101] == 101 and cls[104] == cls[105] == 104 and cls[None] is None
+    assert {r["doc_id"]: r["n_links"] > 0 for r in got if r["doc_id"] is not None} == {i: i in linked for i in parent}
     kept = near_dedup.drop_duplicates(clashing(df))
     assert kept.columns == clashing(df).columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert sorted(i for i in ids if i is not None) == sorted({root(i) for i in parent}) and ids.count(None) == 2
+    twice = spark.createDataFrame([(1, prose(1, 50), "en", "s", 1), (1, prose(2, 50), "en", "s", 1), (1, prose(2, 50), "en", "s", 1), (5, prose(1, 50), "en", "s", 1), (9, prose(2, 50), "en", "s", 1)], SCHEMA)
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.drop_duplicates(twice).collect()) == sorted([(1, prose(1, 50)), (1, prose(2, 50))])
     assert near_dedup.classes(empty).count() == 0 and near_dedup.drop_duplicates(empty).count() == 0
 
 
@@ -158,8 +165,9 @@ def test_samples_agree_as_often_as_texts_are_alike():
 
 
 def test_decontamination(spark, docs, empty):
-    items = [(i, prose(2000 + i, 8 + 5 * i)) for i in range(12)] + [(50, None), (51, ""), (52, "two words"), (53, prose(2003, 23)), (None, prose(2004, 28))]
+    items = [(i, prose(2000 + i, 8 + 5 * i)) for i in range(12)] + [(60 + i, prose(2100 + i, 5 + i % 4)) for i in range(8)] + [(50, None), (51, ""), (52, "two words"), (53, prose(2003, 23)), (None, prose(2004, 28))]
     texts = [(700 + i, prose(i, 3000) + " " + prose(2000 + i, 8 + 5 * i) + " " + prose(3000 + i, 50 * i), "en", "s", 1) for i in range(12)]
+    texts += [(750 + i, prose(i, 3000) + " " + prose(2100 + i, 5 + i % 4) + " " + prose(3000 + i, 900), "en", "s", 1) for i in range(8)]
     texts += [(800 + i, prose(1, 40) + " " + edited(prose(2000 + i, 8 + 5 * i), i, 1), "en", "s", 1) for i in range(12)]
     df = docs.unionByName(spark.createDataFrame(texts, SCHEMA))
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -199,11 +207,12 @@ def test_line_dedup(spark, docs, empty):
         kept = [x for x in lines if not held[key(x)] >= 10]
         want.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
     order = lambda x: tuple(map(str, x))
-    got = [tuple(r) for r in line_dedup.with_kept(clashing(df)).select("doc_id", "_n_lines", "_n_dropped", "_kept").collect()]
+    got = [tuple(r) for r in line_dedup.with_kept(clashing(df)).select("row.doc_id", "n_lines", "n_dropped", "kept").collect()]
     assert sorted(got, key=order) == sorted(want, key=order) and any(x[2] for x in want)
     out = line_dedup.apply(clashing(df))
     assert out.columns == clashing(df).columns and out.where("doc_id = 900").first()["n_chars"] == len(want[rows.index((900, shared[0][1]))][3])
-    first = line_dedup.with_kept(df, keep_first=True).agg(F.sum("_n_dropped")).first()[0]
+    assert {tuple(r) for r in out.select("_kept", "n_lines", "_d1").distinct().collect()} == {("x", "x", "x")}
+    first = line_dedup.with_kept(df, keep_first=True).agg(F.sum("n_dropped")).first()[0]
     assert first == sum(x[2] for x in want) - sum(1 for v in held.values() if v >= 10)
     assert line_dedup.with_kept(empty).count() == 0
 
@@ -375,7 +384,9 @@ def test_targets():
 def test_mixing(spark, docs, empty):
     hot = [(5000 + i, "a b c d e f g", "en", "s9", 1) for i in range(3000)]
     df = docs.unionByName(spark.createDataFrame(hot, SCHEMA))
-    rows = mixing.mix(clashing(df)).collect()
+    mixed = mixing.mix(clashing(df))
+    assert {tuple(r) for r in mixed.select("row._sid", "row.size", "row._taken").distinct().collect()} == {("x", "x", "x")}
+    rows = mixed.select("row.text", "row.source", *(F.col(n).alias(f"_{n}") for n in ("size", "source_size", "target", "taken"))).collect()
     assert len(rows) == df.count()
     by = collections.defaultdict(list)
     for r in rows:
@@ -386,8 +397,8 @@ def test_mixing(spark, docs, empty):
     for s, w in zip(names, want, strict=True):
         assert all(abs(r["_target"] - w) < 1e-6 for r in by[s])
         assert abs(sum(r["_taken"] for r in by[s]) - w) <= max(180, 0.02 * w, max(r["_size"] for r in by[s]))  # repeated rows share one decision; a text is taken whole
-    again = {(r["doc_id"], r["source"], r["_taken"]) for r in mixing.mix(df.repartition(13)).collect()}
-    assert again == {(r["doc_id"], r["source"], r["_taken"]) for r in rows}
+    told = lambda x: sorted(str(tuple(r)) for r in x.select("row.doc_id", "row.source", "taken").collect())
+    assert told(mixing.mix(df.repartition(13))) == told(mixed)
     assert mixing.mix(empty).count() == 0
 
 
