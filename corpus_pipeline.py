@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns a DataFrame that
 `run` writes as Parquet to the shared folder and reads again as the next stage's docs.  All stages but the last return
 the columns of docs.  The last returns them with `copies`: how many times the mix takes the document.
+
+Defined results, for every stage: null and empty texts are kept by all stages but the last, which never takes a text without
+words; very long texts are read whole; repeated rows are judged each, and near_dedup keeps one of them; ties go to the least doc_id
+there, and to the least hash in mixing; rows with a null doc_id are never compared in near_dedup, and otherwise treated like others;
+an empty table gives an empty result; extra columns pass through, whatever their names (but for `copies` in the last stage, which
+is its own).  Without labels, or a benchmark, the first and the fourth stage keep all documents.
 """
 
 from __future__ import annotations
@@ -40,8 +46,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the number of times it does."""
     common.ship(spark)
-    mixed = mixing.mix(docs).where("_taken > 0")
-    return mixed.withColumn("copies", (F.col("_taken") / F.col("_size")).cast("int")).select(*docs.columns, "copies")
+    copies = (F.col("taken") / F.col("size")).cast("int").alias("copies")
+    return mixing.mix(docs).where("taken > 0").select(*(F.col(f"row.`{n}`").alias(n) for n in docs.columns if n != "copies"), copies)
 
 
 STAGES = [
