@@ -46,6 +46,11 @@ def norm_alpha(x: Column) -> Column:
     return F.lower(F.regexp_replace(x, r"[^\p{IsAlphabetic}]", ""))
 
 
+def part_of(x: Column, start: int, length: int | None = None) -> Column:
+    """Characters from a place (from 1) on, at most `length` of them; null stays null."""
+    return F.substring(x, start, length) if length is not None else F.substring(x, F.lit(start), F.length(x))
+
+
 def final_token(x: Column) -> Column:
     return F.element_at(F.split(x, " "), -1)
 
@@ -62,6 +67,11 @@ def decade(d: Column) -> Column:
     return (F.floor(F.year(d) / 10) * 10).cast("int")
 
 
+def in_days(d: Column, first: str, after: str) -> Column:
+    """Whether a date or instant is in the half-open range [first, after): a plain comparison, so that it reaches the scan."""
+    return (d >= F.lit(first).cast("date")) & (d < F.lit(after).cast("date"))
+
+
 def days_apart(a: Column, b: Column) -> Column:
     return F.abs(F.datediff(a, b))
 
@@ -90,11 +100,11 @@ def bucket(x: Column, steps: list[tuple[int, str]], last: str) -> Column:
 
 
 def strip_tags(x: Column) -> Column:
-    """Text of markup: scripts, styles and comments out, block ends to line breaks, tags out, five entities decoded."""
+    """Text of markup: scripts, styles and comments out, block ends to line breaks, tags out, six entities decoded."""
     y = F.regexp_replace(x, r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->", " ")
     y = F.regexp_replace(y, r"(?i)<br\s*/?>|</(p|div|h[1-6]|li|tr|article|nav|ul)>", "\n")
     y = F.regexp_replace(y, r"<[^>]*>", "")
-    for entity, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    for entity, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&quot;", '"'), ("&amp;", "&")):
         y = F.replace(y, F.lit(entity), F.lit(by))
     return y
 
@@ -119,7 +129,8 @@ def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[
 
 def docket_key(x: Column) -> tuple[Column, Column]:
     """A two-digit year and a number of up to five digits as one padded key, and the rule that found it."""
-    lead, word = r"(?i)^\s*(?:no\.?\s*)?(\d{2})-(\d{1,5})", r"(?i)docket\s*(?:no\.?|number)?\s*:?\s*(\d{2})-(\d{1,5})"
+    # A leading number, or one after the word Docket.
+    lead, word = r"^\s*(?:No\.\s*)?([0-9]{2})-([0-9]{1,5})", r"[Dd]ocket\s*(?:No\.\s*)?([0-9]{2})-([0-9]{1,5})"
     at = lambda p: F.concat(F.regexp_extract(x, p, 1), F.lpad(F.regexp_extract(x, p, 2), 5, "0"))
     key = F.when(x.rlike(lead), at(lead)).when(x.rlike(word), at(word))
     return key, F.when(x.rlike(lead), "lead").when(x.rlike(word), "docket_keyword").otherwise("unparseable")

@@ -91,10 +91,34 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def ks_statistic(a: DataFrame, b: DataFrame, x: str) -> DataFrame:
-    """Largest distance of the two empirical distribution functions, on grouped values."""
+    """Largest distance of the two empirical distribution functions, on grouped values.
+
+    Values are range-partitioned and summed up within partitions; sums of the partitions before make the running sums whole.
+    """
     both = a.select(F.col(x), F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(b.select(F.col(x), F.lit(0).alias("a"), F.lit(1).alias("b")))
     steps = both.groupBy(x).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    upto = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)  # over distinct values
-    total = Window.partitionBy(F.lit(1))
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(total) - F.sum("b").over(upto) / F.sum("b").over(total))
-    return steps.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    parts = steps.repartitionByRange(x).withColumn("_part", F.spark_partition_id())
+    sums = parts.groupBy("_part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"), F.max(x).alias("_last"))
+    earlier, all_ = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))  # one row a partition
+    offsets = sums.select("_part", *(F.coalesce(F.sum(f"p{k}").over(earlier), F.lit(0)).alias(f"o{k}") for k in "ab"), *(F.sum(f"p{k}").over(all_).alias(f"n{k}") for k in "ab"), "_last")
+    upto = Window.partitionBy("_part").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    running = parts.select("_part", x, *(F.sum(k).over(upto).alias(f"s{k}") for k in "ab")).join(F.broadcast(offsets), "_part").where(F.col(x) <= F.col("_last"))
+    gap = F.abs((F.col("oa") + F.col("sa")) / F.col("na") - (F.col("ob") + F.col("sb")) / F.col("nb"))
+    return running.agg(F.max(gap).alias("ks"))
+
+
+def group_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows, filled values, mean, median and distinct values of each group."""
+    x = F.col(value)
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count(x).alias("n_values"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.countDistinct(x).alias("n_distinct"))
+
+
+def completeness_map(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Completeness of the chosen variables of several tables, each from one scan."""
+    return reduce(DataFrame.unionAll, [completeness(df.select(*columns), name) for name, (df, columns) in tables.items()])
+
+
+def core_subset(long: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a completeness table for the chosen (table_name, variable_name), and the chosen ones that it lacks (to warn of)."""
+    on = ["table_name", "variable_name"]
+    return long.join(chosen, on, "left_semi"), chosen.join(long, on, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import is_blank
+from quarry.functions.exprs import is_blank, recode
 
 # The appellate courts.
 COURTS = ("ca1", "ca2", "ca3", "ca4", "ca5", "ca6", "ca7", "ca8", "ca9", "ca10", "ca11", "cadc", "cafc")
@@ -20,15 +20,18 @@ def select_courts(courts: DataFrame, ids: tuple[str, ...] = COURTS) -> DataFrame
     return out
 
 
+# Categories of courts that are left out, by jurisdiction.
+EXCLUDED = {
+    "SA": "state_court", "S": "state_court", "ST": "state_court", "TRA": "tribal_court", "TA": "territorial_court", "MA": "military_court",
+    "FS": "specialized_federal_court", "F": "historical_or_non_target_federal_court",
+}
+
+
 def excluded_courts(courts: DataFrame, ids: tuple[str, ...] = COURTS) -> DataFrame:
-    """Courts named after appeals that are not in the universe, with a category by jurisdiction."""
-    j = F.col("jurisdiction")
-    kind = (
-        F.when(j.startswith("FB"), "bankruptcy_appellate").when(j.startswith("F"), "other_federal").when(j.startswith("S"), "state_appellate")
-        .when(j.startswith("T"), "territorial_or_tribal").when(j.startswith("M"), "military").otherwise("other")
-    )
-    named = F.col("full_name").ilike("%appeal%") | F.col("short_name").ilike("%appeal%")
-    return courts.where(named & ~F.col("id").isin(*ids)).withColumn("category", kind)
+    """Courts called a court of appeals that are not in the universe, with a category by jurisdiction."""
+    named = F.col("full_name").ilike("%Court of Appeals%") & ~F.col("id").isin(*ids)
+    kind = recode(F.col("jurisdiction"), EXCLUDED, "other_non_target_court")
+    return courts.where(named).select("id", "short_name", "full_name", "jurisdiction", kind.alias("exclusion_category"))
 
 
 def build_corpus(opinions: DataFrame, clusters: DataFrame, dockets: DataFrame, courts: DataFrame) -> DataFrame:
@@ -52,6 +55,6 @@ def need_text_extraction(corpus: DataFrame, resolved: DataFrame) -> DataFrame:
     """Published opinions, not per curiam (null counts as not), that no earlier step resolved and that have an author tag or, from 1960
     on, marked-up text."""
     open_ = corpus.join(resolved.where("gender_resolved").select("opinion_id"), "opinion_id", "left_anti")
-    tag = F.coalesce(F.col("xml_harvard").contains("<author"), F.lit(False))
+    tag = F.coalesce(F.col("xml_harvard").ilike("%<author%"), F.lit(False))
     html = (F.col("year_filed") >= 1960) & ~is_blank(F.col("html_with_citations"))
     return open_.where((F.col("precedential_status") == "Published") & ~F.coalesce("per_curiam", F.lit(False)) & (tag | F.coalesce(html, F.lit(False))))

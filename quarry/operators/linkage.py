@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import days_apart, docket_key, final_token, initial, norm_alpha, norm_author, norm_space
-from quarry.operators.relational import best_tier, consensus, interval_join, nearest_join
+from quarry.functions.exprs import days_apart, docket_key, final_token, norm_author, norm_space, recode
+from quarry.operators.relational import best_tier, consensus, nearest_join
 
 # Position types that count as a seat on the bench, and the tiers of the name ladder.
 POSITION_TYPES = ("jud", "ret-senior-jud", "c-jus")
@@ -43,33 +43,48 @@ def name_ladder(cases: DataFrame, pool: DataFrame) -> DataFrame:
     out = cases.join(agreed, "case_id", "left")
     return out.select(
         *cases.columns, "tier", F.when(F.col("tier").isNotNull(), label).alias("match_type"), F.col("agreed").alias("gender"),
-        F.coalesce("n_members", F.lit(0)).alias("n_judges"), F.coalesce("n_values", F.lit(0)).alias("n_genders"), F.col("members").alias("judges"), quality_tier(),
+        F.coalesce("n_members", F.lit(0)).alias("n_judges"), F.coalesce("n_values", F.lit(0)).alias("n_genders"), F.col("members").alias("judges"), gender_source().alias("gender_source"), quality_of(gender_source())[0].alias("quality_tier"),
     )
 
 
-def quality_tier() -> Column:
-    """From tier, n_members and n_values: the published quality number (fixed values)."""
+# By tier, the source codes for one judge, several of one gender, and several genders; then quality tier and
+# label of the codes.
+SOURCES = {
+    1: ("author_str_fjc_unique_judge", "author_str_fjc_multiple_judges_same_gender", "ambiguous_multiple_genders"),
+    2: ("author_str_fjc_suffix_unique_gender", "author_str_fjc_suffix_unique_gender", "ambiguous_suffix_multiple_genders"),
+    3: ("author_str_any_court_unique_judge", "author_str_any_court_unique_gender", "ambiguous_multiple_genders"),
+    4: ("author_str_any_court_suffix_unique_judge", "author_str_any_court_suffix_unique_gender", "ambiguous_suffix_multiple_genders"),
+}
+NO_MATCH = "no_fjc_match"
+QUALITY = {
+    "author_id": (1, "structured_author_id"),
+    "author_str_fjc_unique_judge": (2, "exact_author_str_unique_judge"),
+    "author_str_fjc_suffix_unique_gender": (3, "suffix_author_str_unique_gender"),
+    "author_str_fjc_multiple_judges_same_gender": (4, "exact_author_str_multiple_judges_same_gender"),
+    "author_str_any_court_unique_judge": (5, "any_court_author_str_unique_judge"),
+    "author_str_any_court_suffix_unique_judge": (5, "any_court_author_str_unique_judge"),
+    "author_str_any_court_unique_gender": (6, "any_court_author_str_unique_gender"),
+    "author_str_any_court_suffix_unique_gender": (6, "any_court_author_str_unique_gender"),
+    "ambiguous_multiple_genders": (8, "ambiguous_multiple_genders"),
+    "ambiguous_suffix_multiple_genders": (8, "ambiguous_suffix_multiple_genders"),
+    "no_fjc_match": (9, "no_fjc_match"),
+    "no_author_id_or_author_str": (10, "no_author_information"),
+}
+
+
+def gender_source() -> Column:
+    """The published source code, from tier, n_members and n_values."""
     one, alone, t = F.col("n_values") == 1, F.col("n_members") == 1, F.col("tier")
-    return (
-        F.when(t.isNull(), 9).when(~one, 8).when((t == 1) & alone, 2).when(t == 1, 4).when(t == 2, 3).when(alone, 5).otherwise(6).alias("quality_tier")
-    )
-
-
-def text_name_ladder(cases: DataFrame, pool: DataFrame) -> DataFrame:
-    """Cases (case_id, court_id, year, name) against a pool with full names and service years (name_first, name_last, court_id,
-    gender, judge_id, start_year, end_year): full name or initials, same court or any, then surname by active period."""
-    n, tokens = norm_space(F.col("name")), F.split(norm_space(F.col("name")), " ")
-    named = cases.withColumns({"_last": norm_alpha(F.element_at(tokens, -1)), "_full": norm_alpha(n), "_init": F.when(F.size(tokens) > 1, F.left(n, F.lit(1)))})
-    members = pool.select(
-        "judge_id", "gender", F.col("court_id").alias("judge_court"), "start_year", "end_year", norm_alpha(F.col("name_last")).alias("_last"),
-        norm_alpha(F.concat_ws(" ", "name_first", "name_last")).alias("_pool_full"), initial(F.col("name_first")).alias("_pool_init"),
-    )
-    found = named.join(members, "_last")
-    here = F.col("judge_court") == F.col("court_id")
-    active = (F.col("start_year").isNull() | (F.col("start_year") <= F.col("year"))) & (F.col("end_year").isNull() | (F.col("end_year") >= F.col("year")))
-    full, init = F.col("_full") == F.col("_pool_full"), F.coalesce(F.col("_init") == F.col("_pool_init"), F.lit(False))
-    tier = F.when(full & here, 1).when(init & here, 2).when(full, 3).when(init, 4).when(here & active, 5).when(here, 6)
-    return consensus(best_tier(found.withColumn("tier", tier).where("tier IS NOT NULL"), ["case_id"], "tier"), ["case_id", "tier"], "gender", "judge_id")
+    out = F.when(t.isNull(), NO_MATCH)
+    for k, (single, several, ambiguous) in SOURCES.items():
+        out = out.when(t == k, F.when(~one, ambiguous).when(alone, single).otherwise(several))
+    return out
+
+
+def quality_of(source: Column) -> tuple[Column, Column]:
+    """Quality tier and label of a source code; 99 and unknown for others."""
+    tier = recode(source, {k: str(n) for k, (n, _) in QUALITY.items()}, "99").cast("int")
+    return tier, recode(source, {k: label for k, (_, label) in QUALITY.items()}, "unknown")
 
 
 def match_dockets(opinions: DataFrame, appeals: DataFrame) -> DataFrame:
@@ -89,19 +104,37 @@ def match_dockets(opinions: DataFrame, appeals: DataFrame) -> DataFrame:
     return out.withColumn("match_tier", tier).withColumn("match_eligible", F.coalesce(g <= 7, F.lit(False))).withColumn("was_ambiguous", F.coalesce(F.col("n_candidates") > 1, F.lit(False)))
 
 
+# Letters of recorded parties.
+PARTIES = {
+    "d": "Democratic", "r": "Republican", "i": "Independent", "g": "Green", "l": "Libertarian", "f": "Federalist", "w": "Whig", "j": "Jeffersonian Republican", "u": "National Union", "z": "Reform Party",
+}
+
+
 def affiliation_as_of(cases: DataFrame, affiliations: DataFrame) -> DataFrame:
-    """Cases (case_id, person_id, filed) with the latest affiliation (person_id, party, date_start, date_end) in force when filed; a person's
-    only record counts where no dated one does."""
-    dated = affiliations.where("date_start IS NOT NULL")
-    held = interval_join(cases, dated, "person_id", F.col("filed"), F.col("date_start"), F.col("date_end"), [F.col("date_start").desc(), F.col("party")])
-    single = affiliations.groupBy("person_id").agg(F.count("*").alias("n_records"), F.min("party").alias("_only"))
-    out = cases.join(held.select("case_id", F.col("party").alias("_held")), "case_id", "left").join(single, "person_id", "left")
+    """Cases (case_id, person_id, filed) with the latest affiliation (id, person_id, political_party, date_start, date_end) in force
+    when filed, ties by the largest id; a person's only record counts where no dated one does.  Beside it the latest record whatever the day."""
+    a = affiliations.select("person_id", F.col("id").alias("_id"), "political_party", "date_start", "date_end")
+    dated = cases.join(a.where("date_start IS NOT NULL"), "person_id").where((F.col("date_start") <= F.col("filed")) & (F.col("date_end").isNull() | (F.col("date_end") >= F.col("filed"))))
+    held = dated.groupBy("case_id").agg(F.max(F.struct("date_start", "_id", "political_party", "date_end")).alias("h"))
+    latest = F.max(F.struct(F.col("date_start").isNotNull().alias("dated"), "date_start", "_id", "political_party")).alias("l")
+    single = a.groupBy("person_id").agg(F.count("*").alias("n_records"), F.min("political_party").alias("_only"), latest)
+    out = cases.join(held, "case_id", "left").join(single, "person_id", "left")
     only = F.when(F.col("n_records") == 1, F.col("_only"))
+    code = F.coalesce("h.political_party", only)
     how = (
-        F.when(F.col("_held").isNotNull(), "in_force_at_filing").when(F.col("person_id").isNull(), "no_person").when(F.col("n_records").isNull(), "no_affiliation_recorded")
-        .when(only.isNotNull(), "single_undated_record").when(F.col("filed").isNull(), "no_filing_date").otherwise("filing_outside_recorded_periods")
+        F.when(F.col("h.political_party").isNotNull(), "in_force_at_filing").when(only.isNotNull(), "single_undated_record").when(F.col("person_id").isNull(), "no_person")
+        .when(F.col("n_records").isNull(), "no_affiliation_recorded").when(F.col("filed").isNull(), "no_filing_date").otherwise("filing_outside_recorded_periods")
+    )
+    return out.select(
+        *cases.columns, code.alias("party_code"), recode(code, PARTIES).alias("party"), how.alias("resolution"), "n_records", F.col("h.date_start").alias("period_start"), F.col("h.date_end").alias("period_end"),
+        F.col("l.political_party").alias("latest_code"),
     )
-    return out.select(*cases.columns, F.coalesce("_held", only).alias("party"), how.alias("resolution"))
+
+
+def party_convenience(appointing: Column, registered: Column) -> tuple[Column, Column]:
+    """The appointing president's party where there is one, else the judge's own; and which of the two it is."""
+    none = appointing.isNull() | appointing.startswith("None")
+    return F.coalesce(F.when(~none & (appointing != ""), appointing), registered), F.when(~none, "appointing_president").when(registered.isNotNull(), "registered_affiliation")
 
 
 def cascade(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
@@ -110,14 +143,3 @@ def cascade(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
     for name, value in steps:
         out = F.when(value.isNotNull(), name) if out is None else out.when(value.isNotNull(), name)
     return df.withColumn("resolved", F.coalesce(*[v for _, v in steps])).withColumn("channel", out.otherwise("unresolved"))
-
-
-def route_domain(type_code: Column, nature: Column, offense: Column, agency: Column) -> tuple[Column, Column]:
-    """The domain of an appeal by its type code, and the source field's value (fixed code ranges)."""
-    code = type_code.try_cast("int")
-    kind = (
-        F.when(code.isin(3, 4, 7), "civil").when(code.isin(5, 8) | code.between(13, 21), "criminal").when(code.isin(1, 2), "administrative")
-        .when(code == 6, "original_proceeding").when(code.between(9, 12), "bankruptcy").otherwise("other")
-    )
-    domain = F.when((kind == "criminal") & offense.try_cast("int").between(8710, 8750), "immigration").otherwise(kind)
-    return domain, F.when(kind == "civil", nature).when(kind == "criminal", offense).when(kind == "administrative", agency)

@@ -6,32 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.windows import last_so_far
 
-def or_join(left: DataFrame, right: DataFrame, left_keys: list[Column], right_key: Column, extra: Column | None = None) -> DataFrame:
-    """Rows of left and right where any of left_keys equals right_key, each pair once.
 
-    The alternatives are exploded into one key column, so that the plan is a hash or merge join, never a nested loop.
+def or_join(left: DataFrame, right: DataFrame, left_keys: list[Column], right_key: Column, extra: Column | None = None, how: str = "inner") -> DataFrame:
+    """Rows of left and right where any of left_keys equals right_key, each pair once; with how="left" also left rows without one.
+
+    The alternatives are exploded into one key column, so that the plan is a hash or merge join, never a nested loop.  A left
+    row without a pair comes from one more alternative that no right row has, and stays only where its row met nothing.
     """
     keys = F.array_distinct(F.filter(F.array(*left_keys), lambda k: k.isNotNull()))
-    exploded = left.withColumn("_key", F.explode(keys))
-    out = exploded.join(right.withColumn("_right_key", right_key), F.col("_key") == F.col("_right_key"))
-    return (out if extra is None else out.where(extra)).drop("_key", "_right_key")
-
-
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], strict: bool = True) -> DataFrame:
+    if how == "inner":
+        out = left.withColumn("_key", F.explode(keys)).join(right.withColumn("_right_key", right_key), F.col("_key") == F.col("_right_key"))
+        return (out if extra is None else out.where(extra)).drop("_key", "_right_key")
+    rows = left.withColumn("_i", F.monotonically_increasing_id()).withColumn("_key", F.explode(F.concat(keys.cast("array<string>"), F.array(F.lit(None).cast("string")))))
+    met = rows.join(right.withColumn("_right_key", right_key).withColumn("_met", F.lit(True)), F.col("_key") == F.col("_right_key").cast("string"), "left")
+    if extra is not None:
+        met = met.withColumn("_met", F.col("_met") & F.coalesce(extra, F.lit(False)))
+    any_ = F.max(F.coalesce("_met", F.lit(False))).over(Window.partitionBy("_i"))
+    kept = met.withColumn("_any", any_).where(F.coalesce("_met", F.lit(False)) | (~F.col("_any") & F.col("_key").isNull()))
+    return kept.select(*left.columns, *right.columns)
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], strict: bool = True, span=None) -> DataFrame:
     """Each row of left with the values of the last row of right before (or, not strict, up to) its time, by key.
 
-    One shuffle: both sides are laid out by key and time, and the last right row is carried forward; no pair is
-    ever made.  Among right rows of one time the largest values win.
+    Both sides are laid out by key and time, and the last right row is carried forward; no pair is ever made.  Among right
+    rows of one time the largest values win.  span(time column) cuts a key's rows, so that a hot key is no single task.
     """
     side = F.lit(0 if strict else 1)
-    kept = [c for c in left.columns]
-    a = left.select(F.struct(*kept).alias("_l"), F.col(key).alias("_k"), F.col(left_at).alias("_t"), side.alias("_s"))
+    a = left.select(F.struct(*left.columns).alias("_l"), F.col(key).alias("_k"), F.col(left_at).alias("_t"), side.alias("_s"))
     b = right.select(F.struct(F.col(right_at), *values).alias("_r"), F.col(key).alias("_k"), F.col(right_at).alias("_t"), F.lit(1 if strict else 0).alias("_s"))
     both = a.unionByName(b, allowMissingColumns=True)
-    order = Window.partitionBy("_k").orderBy("_t", "_s", F.col("_r").asc_nulls_first())
-    seen = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_seen", seen).where("_l IS NOT NULL").select("_l.*", *[F.col(f"_seen.{v}").alias(f"asof_{v}") for v in values])
+    cut = span(F.col("_t")) if span else F.lit(0)
+    seen = last_so_far(both, "_k", cut, ["_t", "_s", F.col("_r").asc_nulls_first()], F.col("_r"), "_seen")
+    return seen.where("_l IS NOT NULL").select("_l.*", *[F.col(f"_seen.{v}").alias(f"asof_{v}") for v in values])
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, at: Column, start: Column, end: Column, order: list[Column]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import wilson
+from quarry.functions.exprs import is_blank, wilson
+from quarry.operators.linkage import name_ladder, quality_of
 from quarry.operators.windows import stratified_sample
 
 
@@ -21,20 +22,25 @@ def open_for_names(opinions: DataFrame) -> DataFrame:
     return opinions.where(F.col("author_id").isNull() & (F.col("per_curiam") == F.lit(False)) & (F.trim("author_str") != ""))
 
 
-def combine(step1: DataFrame, step2: DataFrame) -> DataFrame:
-    """opinion_id, gender, source, tier: step 1 where resolved, else step 2, else why not."""
-    two = step2.select("opinion_id", F.col("gender").alias("_g2"), F.col("quality_tier").alias("_t2"), F.col("match_type").alias("_m2"))
-    out = step1.join(two, "opinion_id", "left")
-    first, second = F.col("gender_resolved"), F.col("_g2").isNotNull()
-    return out.select(
-        "opinion_id", F.when(first, F.col("gender")).otherwise(F.col("_g2")).alias("gender"), (first | second).alias("gender_resolved"),
-        F.when(first, "author_id").when(second, F.concat(F.lit("author_str_"), "_m2")).when(F.col("_t2").isNotNull(), "unresolved_name").otherwise("no_author_information").alias("gender_source"),
-        F.when(first, 1).otherwise(F.coalesce("_t2", F.lit(10))).alias("gender_match_quality_tier"),
+def combine(opinions: DataFrame, step1: DataFrame, step2: DataFrame) -> DataFrame:
+    """opinions (opinion_id, author_id, author_str) with gender, source, quality tier and label: of step 1 (gender, gender_resolved)
+    where it resolves, else of step 2 (gender, gender_source), else why there is none."""
+    one = step1.select("opinion_id", F.col("gender").alias("_g1"), F.coalesce("gender_resolved", F.lit(False)).alias("_r1"))
+    two = step2.select("opinion_id", F.col("gender").alias("_g2"), F.col("gender_source").alias("_s2"))
+    out = opinions.join(one, "opinion_id", "left").join(two, "opinion_id", "left")
+    first, second = F.coalesce("_r1", F.lit(False)), F.col("_g2").isNotNull()
+    silent = F.col("author_id").isNull() & F.coalesce(F.trim("author_str") == "", F.lit(True))
+    source = (
+        F.when(first, "author_id").when(second, F.col("_s2")).when(F.col("author_id").isNotNull(), "author_id_not_resolved").when(~silent & F.col("_s2").isNotNull(), F.col("_s2"))
+        .when(silent, "no_author_id_or_author_str").otherwise("unknown")
     )
+    tier, label = quality_of(F.col("gender_source"))
+    out = out.select(*opinions.columns, F.when(first, F.col("_g1")).otherwise(F.col("_g2")).alias("gender"), (first | second).alias("gender_resolved"), source.alias("gender_source"))
+    return out.withColumns({"quality_tier": tier, "quality_label": label})
 
 
 def person_registry(judge_id: Column, persons: DataFrame, bio: DataFrame, df: DataFrame) -> DataFrame:
-    """df with `registry`: supplemental, courtlistener-style person, service record, or unmapped."""
+    """df with `registry`: supplemental, person, service record, or unmapped."""
     number = F.when(~judge_id.startswith("sup_"), judge_id.try_cast("long"))
     out = df.withColumn("_id", number)
     out = out.join(persons.select(F.col("id").cast("long").alias("_id")).distinct().withColumn("_p", F.lit(True)), "_id", "left")
@@ -64,16 +70,25 @@ def appointing_party(cases: DataFrame, service: DataFrame) -> DataFrame:
     return cases.join(best, "case_id", "left").select(*cases.columns, F.col("b.party").alias("party"), F.col("b.fit").alias("fit"))
 
 
-def validation_sample(df: DataFrame, key: str, step: str, sizes: dict[int, int], salt: str) -> DataFrame:
-    """A fixed number of rows of each step by a salted hash, with the step's size and empty columns for the verdict."""
-    size = None
-    for k, n in sizes.items():
-        size = F.when(F.col(step) == k, n) if size is None else size.when(F.col(step) == k, n)
+def validation_sample(df: DataFrame, key: str, step: str, sizes: dict[int, int], salt: str, texts: DataFrame | None = None, excerpt: int = 1500) -> DataFrame:
+    """A fixed number of rows of each step by a salted hash, with the step's size, the start of the text where texts (key, text) are
+    given, and empty columns for the verdict."""
     strata = df.groupBy(step).agg(F.count("*").alias("stratum_size"))
-    drawn = stratified_sample(df, step, key, size.otherwise(0), salt).join(strata, step)
+    drawn = stratified_sample(df, step, key, sizes, salt).join(strata, step)
+    if texts is not None:
+        drawn = drawn.join(texts.select(key, F.left("text", F.lit(excerpt)).alias("excerpt")), key, "left")
     return drawn.withColumn("verdict", F.lit(None).cast("string")).withColumn("note", F.lit(None).cast("string"))
 
 
+def sample_faults(sample: DataFrame, key: str, verdict: str = "verdict") -> DataFrame:
+    """What is wrong with a judged sample: repeated keys, rows without a verdict, and unknown verdicts."""
+    v = F.lower(F.trim(verdict))
+    return sample.agg(
+        (F.count("*") - F.countDistinct(key)).alias("n_repeated"), F.count_if(is_blank(F.col(verdict))).alias("n_unjudged"),
+        F.count_if(~is_blank(F.col(verdict)) & ~v.isin("correct", "wrong", "unclear")).alias("n_unknown"),
+    )
+
+
 def precision(sample: DataFrame, step: str, verdict: str = "verdict") -> DataFrame:
     """For each step and pooled (null): judged, correct, precision and its Wilson interval."""
     judged = sample.where(F.col(verdict).isin("correct", "wrong"))
@@ -86,3 +101,23 @@ def precision(sample: DataFrame, step: str, verdict: str = "verdict") -> DataFra
 def weighted_precision(per_step: DataFrame, strata: DataFrame, step: str) -> DataFrame:
     """Mean precision weighted by the strata's sizes (step, stratum_size)."""
     return per_step.where(F.col(step).isNotNull()).join(strata, step).agg((F.sum(F.col("precision") * F.col("stratum_size")) / F.sum("stratum_size")).alias("weighted"))
+
+
+def unresolved_names(cases: DataFrame, pool: DataFrame, n: int = 50) -> DataFrame:
+    """The names (court_id, author_norm) that met no judge, most frequent first (ties by name), and in how many opinions the last word
+    alone would find judges of one gender: at the same court, or at any."""
+    names = cases.where(~is_blank(F.col("author_norm"))).groupBy("court_id", "author_norm").agg(F.count("*").alias("k")).withColumn("_last", F.element_at(F.split("author_norm", " "), -1))
+    near = pool.groupBy(F.col("name_norm").alias("_last"), F.col("court_id")).agg(F.countDistinct("gender").alias("here"))
+    far = pool.groupBy(F.col("name_norm").alias("_last")).agg(F.countDistinct("gender").alias("anywhere"))
+    found = names.join(near, ["_last", "court_id"], "left").join(far, "_last", "left")
+    told = F.when(F.col("here") == 1, "same_court").when(F.col("here") > 1, "ambiguous").when(F.col("anywhere") == 1, "any_court").when(F.col("anywhere") > 1, "ambiguous").otherwise("none")
+    kinds = ("same_court", "any_court", "ambiguous", "none")
+    by_name = found.withColumn("suffix", told).groupBy("author_norm").agg(F.sum("k").alias("n_opinions"), *(F.sum(F.when(F.col("suffix") == s, F.col("k")).otherwise(0)).alias(f"n_{s}") for s in kinds))
+    return by_name.orderBy(F.desc("n_opinions"), "author_norm").limit(n)
+
+
+def ladder_and_combine(opinions: DataFrame, persons: DataFrame, pool: DataFrame) -> DataFrame:
+    """Steps 1 and 2 of opinions (opinion_id, court_id, author_id, author_str, per_curiam) in one."""
+    cases = open_for_names(opinions).select(F.col("opinion_id").alias("case_id"), "court_id", F.col("author_str").alias("author"))
+    step2 = name_ladder(cases, pool).withColumnRenamed("case_id", "opinion_id")
+    return combine(opinions.select("opinion_id", "author_id", "author_str"), by_author_id(opinions, persons), step2)

@@ -105,7 +105,7 @@ FROM events e LEFT JOIN LATERAL (SELECT max(c.ts) AS mts FROM events c WHERE c.u
 def q13_asof_join(t):
     bought = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     clicks = t.events.where("event_type = 'click'").select(F.col("event_id").alias("click"), "user_id", F.col("ts").alias("at"))
-    return R.asof_join(bought, clicks, "user_id", "ts", "at", ["click"]).select("event_id", F.col("asof_click").alias("prior_click"))
+    return R.asof_join(bought, clicks, "user_id", "ts", "at", ["click"], span=F.to_date).select("event_id", F.col("asof_click").alias("prior_click"))
 
 
 @query("""SELECT o_orderkey, n AS n_candidates, CAST(gap AS INTEGER) AS gap, l_linenumber, l_partkey, l_suppkey,

@@ -146,8 +146,8 @@ def q52_case_recode_map(t):
 
 @query("""SELECT bucket, count(*) AS n FROM (SELECT p_partkey, count(x.a) AS k, CASE WHEN k = 0 THEN 'never' WHEN k <= 50 THEN '1-50' WHEN k <= 100 THEN '51-100' ELSE '100+' END AS bucket FROM part LEFT JOIN (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey) x ON x.a = p_partkey GROUP BY 1) GROUP BY 1""")
 def q66_degree_concentration(t):
-    a = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("p_partkey"))
-    b = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("b"))
+    held = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).distinct()  # a part counts once an order
+    a, b = held, held.withColumnRenamed("p_partkey", "b")
     degree = a.join(b, "l_orderkey").where("p_partkey <> b").select("p_partkey", "b").distinct().groupBy("p_partkey").agg(F.count("*").alias("k"))
     k = F.coalesce("k", F.lit(0))
     return A.histogram(t.part.select("p_partkey").join(degree, "p_partkey", "left"), E.bucket(k, [(0, "never"), (50, "1-50"), (100, "51-100")], "100+"), k)

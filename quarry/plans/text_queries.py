@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import exprs as E
-from quarry.operators import extract as X
+from quarry.operators import authorship as AU
 from quarry.plans.registry import query
 
 
@@ -20,16 +20,21 @@ def q53_key_parser(t):
     return t.customer.select("c_custkey", F.lpad(number, 7, "0").alias("key"), F.when(F.col("c_name").rlike("#[0-9]+$"), "hash").otherwise("unparseable").alias("rule"))
 
 
-@query("""SELECT doc_id, lower(regexp_replace(left(text, 40), '[^A-Za-z]', '', 'g')) AS alpha, lower(trim(regexp_replace(regexp_replace(replace(left(text, 40), '.', ' '), '[^A-Za-z\\-\\s'']', '', 'g'), '\\s+', ' ', 'g'))) AS spaced FROM documents""")
+@query("""SELECT doc_id, lower(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS alpha, lower(trim(regexp_replace(regexp_replace(replace(text, '.', ' '), '[^A-Za-z\\-\\s'']', '', 'g'), '\\s+', ' ', 'g'))) AS spaced FROM documents""")
 def q54_norm_names(t):
-    head = F.left("text", F.lit(40))
-    return t.documents.select("doc_id", F.lower(F.regexp_replace(head, "[^A-Za-z]", "")).alias("alpha"), E.norm_space(head).alias("spaced"))
+    return t.documents.select("doc_id", E.norm_alpha(F.col("text")).alias("alpha"), E.norm_space(F.col("text")).alias("spaced"))
 
 
-@query("""SELECT layout, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(html, '(?i)<opinion\\b|<author\\b|class="harvard') THEN 'structured' WHEN regexp_matches(html, '(?i)<\\?xml') THEN 'xml_inline'
-WHEN regexp_matches(html, '(?i)<pre[^>]*class="inline') THEN 'pre_inline' WHEN regexp_matches(html, '<[a-zA-Z]') THEN 'plain_html' ELSE 'text' END AS layout FROM pages) GROUP BY 1""")
+@query("""SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(replace(p_name, '.', ' '), '[^A-Za-z\\-\\s'']', '', 'g'), '\\s+', ' ', 'g'))) AS spaced, string_split(spaced, ' ')[-1] AS last_token FROM part""")
+def q54b_part_names(t):
+    spaced = E.norm_space(F.col("p_name"))
+    return t.part.select("p_partkey", spaced.alias("spaced"), E.final_token(spaced).alias("last_token"))
+
+
+@query("""SELECT layout, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(html, '(?i)class="indent"') THEN 'harvard_structured' WHEN regexp_matches(html, '(?i)^\\s*<\\?xml') THEN 'xml_inline'
+WHEN regexp_matches(html, '(?i)^\\s*<pre\\s[^>]*class="inline"') THEN 'pre_inline' ELSE 'plain_html' END AS layout FROM pages) GROUP BY 1""")
 def q55_html_layout(t):
-    return t.pages.groupBy(X.layout(F.col("html")).alias("layout")).agg(F.count("*").alias("n"))
+    return t.pages.groupBy(AU.html_layout(F.col("html")).alias("layout")).agg(F.count("*").alias("n"))
 
 
 _STRIP = (
@@ -37,9 +42,18 @@ _STRIP = (
 )
 
 
-@query(f"""SELECT page_id, left(trim(regexp_replace(replace(replace(replace(replace(replace({_STRIP}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')), 300) AS text FROM pages""")
+_BLOCKS = r"regexp_replace(regexp_replace(html, '(?i)</p>|</div>|<br\s*/?>|</blockquote>|</center>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+
+
+@query(f"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace({_STRIP}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages""")
 def q56_html_strip(t):
-    return t.pages.select("page_id", F.left(E.flat(E.strip_tags(F.col("html"))), F.lit(300)).alias("text"))
+    return t.pages.select("page_id", E.flat(E.strip_tags(F.col("html"))).alias("text"))
+
+
+@query(f"""SELECT page_id, left(regexp_replace({_BLOCKS}, '\\s+', ' ', 'g'), {AU.FIRST_CHARS}) AS flat, left({_BLOCKS}, {AU.FIRST_CHARS}) AS lines FROM pages""")
+def q56b_html_first(t):
+    """The first characters are the operator's own: an author stands at the start of an opinion."""
+    return t.pages.select("page_id", AU.html_flat(F.col("html")).alias("flat"), AU.html_lines(F.col("html")).alias("lines"))
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(html, '(?s)<title>([^<]*)</title>') THEN regexp_extract(html, '(?s)<title>([^<]*)</title>', 1) END AS title FROM pages""")
@@ -51,10 +65,10 @@ _LINE_RULES = ((10, "License"), (20, r"^[A-Z][a-z]+\.$"), (30, "^The "))
 
 
 @query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-c AS (SELECT doc_id, n, left(x, 60) AS x, CASE {" ".join(f"WHEN regexp_matches(x, '{p}') THEN {k}" for k, p in _LINE_RULES)} END AS priority FROM l)
+c AS (SELECT doc_id, n, x, CASE {" ".join(f"WHEN regexp_matches(x, '{p}') THEN {k}" for k, p in _LINE_RULES)} END AS priority FROM l)
 SELECT doc_id, CAST(priority AS INTEGER) AS priority, CAST(n AS INTEGER) AS line, x FROM c WHERE priority IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY priority, n) = 1""")
 def q58_line_patterns(t):
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(_priority(x).alias("priority"), (i + 1).alias("line"), F.left(x, F.lit(60)).alias("x")))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(_priority(x).alias("priority"), (i + 1).alias("line"), x.alias("x")))
     best = F.array_min(F.filter(lines, lambda r: r["priority"].isNotNull()))
     return t.documents.select("doc_id", best.alias("b")).where("b IS NOT NULL").select("doc_id", "b.priority", "b.line", "b.x")
 
@@ -77,12 +91,6 @@ def q59_guarded_lines(t):
     return rows.select("doc_id", F.size("_l").cast("long").alias("n_lines"), F.size(ok).cast("long").alias("n_open"))
 
 
-@query("""SELECT flag, count(*) AS n FROM (SELECT CASE WHEN a AND b THEN 'mixed' WHEN a THEN 'license' WHEN b THEN 'number' ELSE 'unclear' END AS flag FROM (SELECT regexp_matches(lower(right(text, 300)), 'licensed? ') AS a, regexp_matches(right(text, 300), '[0-9]{3}') AS b FROM documents)) GROUP BY 1""")
-def q60_outcome_flags(t):
-    a, b = F.lower(F.right("text", F.lit(300))).rlike("licensed? "), F.right("text", F.lit(300)).rlike("[0-9]{3}")
-    return t.documents.groupBy(F.when(a & b, "mixed").when(a, "license").when(b, "number").otherwise("unclear").alias("flag")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT count(id) AS n_ids, sum(id)::BIGINT AS total, count(*) - count(id) AS n_other FROM (SELECT try_cast(CASE WHEN p_partkey % 4 = 0 THEN 'sup_' || p_partkey ELSE p_partkey::VARCHAR END AS BIGINT) AS id FROM part)""")
 def q62_try_cast_guard(t):
     mixed = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("sup_"), "p_partkey")).otherwise(F.col("p_partkey").cast("string"))

@@ -20,8 +20,7 @@ def q36_total_order_key(t):
 @query("""SELECT lang, doc_id, draw_rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || 'draw-1'), doc_id) AS draw_rank FROM documents)
 WHERE draw_rank <= CASE lang WHEN 'en' THEN 20 WHEN 'de' THEN 10 ELSE 5 END""")
 def q37_md5_sample(t):
-    size = F.when(F.col("lang") == "en", 20).when(F.col("lang") == "de", 10).otherwise(5)
-    return W.stratified_sample(t.documents.select("lang", "doc_id"), "lang", "doc_id", size, "draw-1").select("lang", "doc_id", "draw_rank")
+    return W.stratified_sample(t.documents.select("lang", "doc_id"), "lang", "doc_id", {"en": 20, "de": 10}, "draw-1", otherwise=5).select("lang", "doc_id", "draw_rank")
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 25")
@@ -36,10 +35,10 @@ def q38_dense_rank_ties(t):
     return W.ties_at_best(rows, ["l_orderkey"], "l_quantity").where("rank <= 2").drop("l_quantity")
 
 
-@query("""SELECT event_id, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_error FROM events""")
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_error FROM events""")
 def q39_running_marker(t):
-    out = W.running_marker(t.events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", F.col("event_id"), "last_error")
-    return out.select("event_id", "last_error")
+    out = W.running_marker(t.events, "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.struct("ts", "event_id"), "e", F.to_date("ts"))
+    return out.select("event_id", F.col("e.event_id").alias("last_error"))
 
 
 @query("""SELECT month, n, CASE WHEN count(n) OVER w >= 3 THEN avg(n) OVER w END AS rolling FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from quarry.functions import exprs as E
 from quarry.functions.patterns import to_java
 from quarry.operators import aggregates as A
-from quarry.operators import extract as X
+from quarry.operators import authorship as AU
 from quarry.operators import linkage as L
 from quarry.operators import quality as Q
 from quarry.operators import relational as R
@@ -81,33 +81,41 @@ def test_nearest_dockets(spark):
 def test_affiliation_as_of(spark):
     d = dt.date
     cases = spark.createDataFrame([(1, 1, d(1959, 1, 1)), (2, 1, d(1970, 1, 1)), (3, 2, d(1970, 1, 1)), (4, 3, d(1970, 1, 1)), (5, None, d(1970, 1, 1)), (6, 1, d(1950, 1, 1))], "case_id int, person_id int, filed date")
-    rows = [(1, "R", d(1954, 1, 1), d(1964, 1, 1)), (1, "D", d(1964, 1, 1), None), (2, "I", None, None)]
-    got = {r["case_id"]: (r["party"], r["resolution"]) for r in L.affiliation_as_of(cases, spark.createDataFrame(rows, "person_id int, party string, date_start date, date_end date")).collect()}
+    rows = [(1, 1, "r", d(1954, 1, 1), d(1964, 1, 1)), (2, 1, "d", d(1964, 1, 1), None), (3, 2, "i", None, None)]
+    got = {r["case_id"]: (r["party_code"] and r["party_code"].upper(), r["resolution"]) for r in L.affiliation_as_of(cases, spark.createDataFrame(rows, "id int, person_id int, political_party string, date_start date, date_end date")).collect()}
     assert got == {1: ("R", "in_force_at_filing"), 2: ("D", "in_force_at_filing"), 3: ("I", "single_undated_record"), 4: (None, "no_affiliation_recorded"), 5: (None, "no_person"), 6: (None, "filing_outside_recorded_periods")}
 
 
 def test_asof_against_brute_force(spark):
     left = spark.createDataFrame([(i, i % 3, i * 7 % 20) for i in range(40)], "id int, k int, t int")
     right = spark.createDataFrame([(i, i % 4, i * 5 % 20) for i in range(40)], "v int, k int, t int")
-    for strict in (True, False):
-        got = {r["id"]: r["asof_v"] for r in R.asof_join(left, right, "k", "t", "t", ["v"], strict).collect()}
+    for strict, span in ((True, None), (False, None), (True, lambda t: F.floor(t / 3)), (False, lambda t: F.floor(t / 3))):
+        got = {r["id"]: r["asof_v"] for r in R.asof_join(left, right, "k", "t", "t", ["v"], strict, span).collect()}
         for i in range(40):
             ok = [(j * 5 % 20, j) for j in range(40) if j % 4 == i % 3 and (j * 5 % 20 < i * 7 % 20 or not strict and j * 5 % 20 == i * 7 % 20)]
             assert got[i] == (max(ok)[1] if ok else None)
 
 
-def test_extraction(spark):
-    html = spark.createDataFrame([
-        (1, "<p>Opinion by Judge B. Fletcher</p>"), (2, "<p>Before: A, B and C.</p><p>SMITH, Circuit Judge</p>"), (3, "<p>x</p>" * 3 + "<p>KELLY, Circuit Judge</p>"),
-        (4, "<p>Before: A</p>" + "<p>y</p>" * 7 + "<p>GRAY., Circuit Judge.</p>"), (5, "<p>Opinion by Judge Chin and Carney</p>"),
-    ], "id int, html string")
-    got = {r["id"]: r["author_name"] for r in X.find_author(html, "html").collect()}
-    assert got == {1: "B. Fletcher", 2: None, 3: "KELLY", 4: "GRAY.", 5: None}
-    assert one(spark, X.xml_author, "<author id='1'>12 <b>KELLY</b>, Circuit Judge</author>") == "KELLY, Circuit Judge"
-    assert one(spark, X.xml_name, "KELLY, Circuit Judge") == "KELLY" and one(spark, X.xml_name, "PER CURIAM") is None
-    assert one(spark, X.outcome, "text. We therefore affirm the judgment.") == "affirmed"
-    assert one(spark, X.outcome, "AFFIRMED in part, REVERSED in part") == "mixed"
-    assert one(spark, X.layout, "<pre class=\"inline\">a</pre>") == "pre_inline"
+def test_disjunctive_left_join(spark):
+    left = spark.createDataFrame([(1, "a", "b"), (2, "a", "z"), (3, "x", None), (4, None, None), (5, "b", "b")], "id int, k1 string, k2 string")
+    right = spark.createDataFrame([("a", 10), ("b", 20), ("b", 30), (None, 40)], "key string, v int")
+    want = [(i, *r) for i, k1, k2 in left.collect() for r in ([tuple(x) for x in right.collect() if x[0] is not None and x[0] in (k1, k2)] or [(None, None)])]
+    key = lambda x: str(x)
+    got = R.or_join(left, right, [F.col("k1"), F.col("k2")], F.col("key"), how="left").select("id", "key", "v")
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    some = R.or_join(left, right, [F.col("k1"), F.col("k2")], F.col("key"), extra=F.col("v") > 10, how="left").select("id", "key", "v")
+    want = [(i, *r) for i, k1, k2 in left.collect() for r in ([tuple(x) for x in right.collect() if x[0] is not None and x[0] in (k1, k2) and x[1] > 10] or [(None, None)])]
+    assert sorted(((i, v) for i, _, v in map(tuple, some.collect())), key=key) == sorted(((i, v) for i, _, v in want), key=key)
+    inner = R.or_join(left, right, [F.col("k1"), F.col("k2")], F.col("key")).count()
+    assert inner == sum(1 for i, k, v in map(tuple, got.collect()) if v is not None)
+
+
+def test_patterns_as_meant(spark):
+    """compat=False reads a pattern's word ends as such."""
+    base = spark.createDataFrame([(1, 1990, "<p>Judge Kearse delivered the opinion of the court</p>"), (2, 1990, "<p>UNITED STATES BOARD, Circuit Judge.</p>"), (3, 1990, "<p>GRAY Jr., Circuit Judge.</p>")], "opinion_id int, year_filed int, html_with_citations string")
+    names = lambda compat: {r["opinion_id"]: (r["author_name"], r["last"]) for r in AU.html_names(base, compat=compat).collect()}
+    assert names(True) == {2: ("UNITED STATES BOARD", "board"), 3: ("GRAY Jr.", "jr")}
+    assert names(False) == {1: ("Kearse", "kearse"), 3: ("GRAY Jr.", "gray")}
 
 
 def test_windows_and_aggregates(spark):

@@ -18,11 +18,11 @@ def by(df, key, *columns):
 
 
 def test_courts(spark):
-    courts = spark.createDataFrame([(c, "F", "n", "US Court of Appeals") for c in C.COURTS] + [("bap1", "FB", "BAP", "Bankruptcy Appellate Panel"), ("nyapp", "SA", "N.Y. App", "Court of Appeals of New York"), ("dist", "FD", "D", "District")], "id string, jurisdiction string, short_name string, full_name string")
+    courts = spark.createDataFrame([(c, "F", "n", "US Court of Appeals") for c in C.COURTS] + [("bap1", "FB", "BAP", "Bankruptcy Appellate Panel"), ("nyapp", "SA", "N.Y. App", "New York Court of Appeals"), ("dist", "FD", "D", "District")], "id string, jurisdiction string, short_name string, full_name string")
     assert C.select_courts(courts).count() == 13
     with pytest.raises(ValueError):
         C.select_courts(courts.where("id != 'ca1'"))
-    assert by(C.excluded_courts(courts), "id", "category") == {"nyapp": ("state_appellate",)}
+    assert by(C.excluded_courts(courts), "id", "exclusion_category") == {"nyapp": ("state_court",)}
 
 
 def test_corpus(spark):
@@ -43,9 +43,9 @@ def test_resolution(spark):
     step1 = RS.by_author_id(opinions, persons)
     assert by(step1, "opinion_id", "gender_resolved") == {1: (True,), 2: (False,), 3: (False,), 4: (False,), 5: (False,)}
     assert [r["opinion_id"] for r in RS.open_for_names(opinions).collect()] == [3]
-    step2 = spark.createDataFrame([(3, "m", 2, "exact_same_court"), (2, None, 9, None)], "opinion_id int, gender string, quality_tier int, match_type string")
-    assert by(RS.combine(step1, step2), "opinion_id", "gender", "gender_source", "gender_match_quality_tier") == {
-        1: ("f", "author_id", 1), 2: (None, "unresolved_name", 9), 3: ("m", "author_str_exact_same_court", 2), 4: (None, "no_author_information", 10), 5: (None, "no_author_information", 10),
+    step2 = spark.createDataFrame([(3, "m", "author_str_fjc_unique_judge"), (4, None, "no_fjc_match")], "opinion_id int, gender string, gender_source string")
+    assert by(RS.combine(opinions.drop("per_curiam"), step1, step2), "opinion_id", "gender", "gender_source", "quality_tier") == {
+        1: ("f", "author_id", 1), 2: (None, "author_id_not_resolved", 99), 3: ("m", "author_str_fjc_unique_judge", 2), 4: (None, "no_fjc_match", 9), 5: (None, "no_author_id_or_author_str", 10),
     }
     rows = spark.createDataFrame([(1, 1, 5, "1"), (2, 2, 1, "sup_1"), (3, 2, 2, "7|8"), (4, 3, 1, "77")], "id int, step int, n_judges int, judges string")
     unique = RS.person_unique(rows)
@@ -76,22 +76,14 @@ def test_precision(spark):
 
 
 def test_appeals(spark):
-    old = spark.createDataFrame([("01", "1500001", " ", "x"), ("CIRCUIT", "DOCKET", "", ""), ("13", "1500002", "a", "y")], "circuit string, docket string, appellan string, outcome string")
+    old = spark.createDataFrame([("1", "1500001", " ", "x"), ("CIRCUIT", "DOCKET", "", ""), ("13", "1500002", "a", "y"), ("02", "1500002", "a", "y")], "circuit string, docket string, appellan string, outcome string")
     new = spark.createDataFrame([("2", "1500003", "b")], "circuit string, docket string, appellan string")
-    out = AP.normalise({"1971": old, "2008": new}, {"circuit": "circuit", "docket": "docket", "appellan": "appellant", "outcome": "outcome_code"})
-    assert by(out, "fjc_appeal_id", "court_id", "appellant", "outcome_code") == {1: ("ca1", None, "x"), 2: ("cafc", "a", "y"), 3: ("ca2", "b", None)}
-    assert spark.createDataFrame([("01/31/2000",), ("13/45/2000",), ("x",)], "x string").select(AP.raw_date(F.col("x")).alias("d")).where("d IS NOT NULL").count() == 1
-    groups = spark.createDataFrame([("ca1", "1", "a", "b", "1"), ("ca1", "1", "a", "b", "1"), ("ca1", "2", "a", "b", "1"), ("ca1", "3", "a", "b", "1"), ("ca1", "3", "a", "b", "2")], "court_id string, docket string, appellant string, appellee string, outcome_code string")
-    assert by(AP.docket_groups(groups), "docket", "group_type") == {"1": ("same_case",), "2": ("single",), "3": ("different_outcomes",)}
-    cand = spark.createDataFrame([(1, 5, 0), (2, 5, 3), (2, 6, 3), (3, 7, 1), (3, 8, 9), (4, None, None)], "opinion_id int, appeal_id int, gap int")
-    conf = AP.match_confidence(cand)
-    assert by(conf, "opinion_id", "confidence") == {1: ("unique",), 2: ("unresolved",), 3: ("unique_best_date",), 4: ("no_match",)}
-    opinions = spark.createDataFrame([(i, "ca1" if i != 5 else "xx") for i in range(1, 7)], "opinion_id int, court_id string")
-    ids = spark.createDataFrame([(i,) for i in (1, 1, 2, 5, 6, 99)], "opinion_id int")
-    asked = AP.requested(ids, opinions, conf.withColumn("parse_rule", F.lit("lead")), ("ca1",))
-    assert by(asked, "opinion_id", "result") == {1: ("unique",), 2: ("unresolved",), 5: ("unsupported_court",), 6: ("no_match",), 99: ("not_found",)}
-    m = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (2, None)], "docket int, appeal int")
-    assert by(AP.consistency(m, "docket", "appeal"), "size", "n_groups", "conflicting", "mixed") == {"2": (2, 1, 1)}
+    out = AP.normalise({"1971to2007": old, "2008plus": new}, {"circuit": "circuit", "docket": "docket", "appellan": "appellant", "outcome": "outcome_code"})
+    assert by(out, "fjc_appeal_id", "court_id", "appellant", "outcome_code") == {1: ("ca1", None, "x"), 2: ("ca2", "b", None)}
+    assert spark.createDataFrame([("01/31/2000",), ("13/45/2000",), ("1/31/2000",), ("x",)], "x string").select(AP.raw_date(F.col("x")).alias("d")).where("d IS NOT NULL").count() == 1
+    texts = spark.createDataFrame([(1, 5, DAY, "we affirm " * 400), (2, 5, DAY + dt.timedelta(29), "x"), (3, 5, DAY + dt.timedelta(31), "y"), (4, 6, DAY, "z")], "opinion_id int, docket_id int, date_filed date, plain_text string")
+    near = AP.neighbourhood(texts, 5, "2000-01-01")
+    assert [(r["opinion_id"], r["gap"], len(r["ending"])) for r in near.collect()] == [(1, 0, 1500), (2, 29, 1)]
 
 
 def test_stats(spark):
@@ -99,14 +91,29 @@ def test_stats(spark):
     positions = spark.createDataFrame([(1, "jud", DAY, None, None), (2, "jud", DAY, DAY, None), (3, "jud", None, None, None), (2, "pres", DAY, None, None)], "person_id int, position_type string, date_start date, date_termination date, date_retirement date")
     parties = spark.createDataFrame([(1, "d"), (2, "r"), (2, "d")], "person_id int, political_party string")
     roster = ST.active_roster(persons, positions, parties)
-    assert by(roster, "gender", "party", "n_active_judges") == {"f": ("d", 1), "Missing": ("Missing", 1)}
-    assert by(ST.female_share(roster), "party", "female_share_pct") == {"d": (100.0,), "Missing": (0.0,)}
+    assert by(roster, "gender", "party", "n_active_judges") == {"Female": ("Democratic", 1), "Missing": ("Missing", 1), "Male": ("Multiple", 1)}
+    assert by(ST.female_share(roster), "party", "female_share_pct") == {"Democratic": (100.0,), "Missing": (0.0,), "Multiple": (0.0,)}
     assert by(ST.appointments_by_decade(persons, positions), "gender", "decade", "n") == {"Female": (2000, 1), "Male": (2000, 1)}
     edges = spark.createDataFrame([(1, 2), (1, 3), (4, 2)], "citing_opinion_id int, cited_opinion_id int")
     clusters = spark.createDataFrame([(1, DAY), (2, DAY), (3, dt.date(1900, 1, 1))], "cluster_id int, date_filed date")
     opinions = spark.createDataFrame([(2, 1), (3, 3)], "opinion_id int, cluster_id int")
-    assert [tuple(r) for r in ST.citation_buckets(clusters, opinions, edges).collect()] == [("0 (never cited)", 1), ("1-10", 1)]
+    assert [tuple(r) for r in ST.citation_buckets(clusters, opinions, edges).collect()] == [("0 (never cited)", 1), ("1-5", 1)]
     assert ST.out_degree(edges).first()["max_outdegree"] == 2
-    assert by(ST.top_judges(edges.withColumnRenamed("citing_opinion_id", "person_id"), persons, parties), "person_id", "n", "full_name", "party") == {1: (2, "Ann Gray", "d")}
+    assert by(ST.top_judges(edges.withColumnRenamed("citing_opinion_id", "person_id"), persons, parties), "person_id", "n", "full_name", "party") == {1: (2, "Ann Gray", "Democratic")}
     assert ST.career_cross_tab(positions, parties).agg(F.sum("n")).first()[0] == 6  # two parties by two positions count four times
     assert [tuple(r) for r in ST.distribution(persons, "gender").collect()] == [("Missing", 1), ("f", 1), ("m", 1)]
+
+
+def test_panels_and_faults(spark):
+    panel = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 2)], "opinioncluster_id int, person_id int")
+    assert by(ST.panel_sizes(panel), "panel_size", "cluster_frequency") == {1: (1,), 2: (1,), 3: (1,)}
+    status = spark.createDataFrame([(1, "Published"), (2, " "), (3, "Published")], "cluster_id int, precedential_status string")
+    assert by(ST.panel_sizes(panel, status), "status", "n_clusters", "avg_panel_size") == {"Published": (2, 2.5), "Missing": (1, 1.0)}
+    both = ST.top_both(spark.createDataFrame([(1,), (1,), (9,)], "person_id int"), panel.select("person_id"))
+    assert [tuple(r)[:3] for r in both.collect()] == [(1, 2, 3), (2, 0, 2), (3, 0, 1), (9, 1, 0)]
+    sample = spark.createDataFrame([(1, "correct"), (1, "wrong"), (2, None), (3, "maybe")], "id int, verdict string")
+    assert tuple(RS.sample_faults(sample, "id").first()) == (1, 1, 1)
+    rows = spark.createDataFrame([(i, i % 2) for i in range(20)], "id int, step int")
+    texts = spark.createDataFrame([(i, "t" * 2000) for i in range(20)], "id int, text string")
+    drawn = RS.validation_sample(rows, "id", "step", {0: 2, 1: 3}, "x", texts)
+    assert drawn.count() == 5 and {len(r["excerpt"]) for r in drawn.collect()} == {1500}
