@@ -8,10 +8,10 @@ the edits of a text with thousands of near copies outweigh the text.  Texts with
 one node (a 128-bit hash) from the start.  Each node draws BANDS * ROWS consistent weighted samples; ROWS
 samples make a band, and nodes that agree on a band share a bucket.
 
-No bucket is ever expanded into all its pairs: its least node is compared with each of the others.  Buckets whose members
-do not end up in one class (texts that share a passage, say, and agree on little else) are split by a second band, each
-by every other band of its members, and one node of each part (another one in each, by a hash) is compared with the others
-that are not yet in its class.  These two rounds find most links with comparisons in proportion to the nodes.
+No bucket is ever expanded into all its pairs: its least node is compared with each of the others.  In buckets whose members
+do not end up in one class (texts that share a passage, say, and agree on little else) a second node, the least by a hash of those
+outside the first one's class, is compared with the others that are not in its own.  These two rounds find most links with at
+most 2 * BANDS comparisons a node.
 
 Members of buckets that are mixed even then are settled by an exact join.  Their shingles are put in one order, those with
 the largest inverse document frequency first.  If two texts are alike to the threshold t, the first shingle they share has little
@@ -19,8 +19,10 @@ weight before it: at most 1 - 2t / (1 + t) of the lighter text's and 1 - t of th
 enough for the overlap t asks for.  Pairs of different classes that meet this at some shingle are compared, so no two texts in
 a mixed bucket are left apart unseen, and texts that share a template alone are not paired, as its shingles come too late.
 
-Pairs whose samples agree in less than LIKELY of all cases (five standard deviations below the threshold) are left; for the
-rest the exact weighted Jaccard similarities of the whole texts are computed.  Pairs of SIMILARITY or more, by these weights or
+Pairs whose samples agree in less than LIKELY of all cases (five standard deviations below the threshold) are left, and so are
+those that cannot be alike: each node has the parities of its distinct rare shingles (an inverse document frequency of RARE or
+more) and of the others in MAP_BITS cells each, and as each cell that differs holds a shingle of at least that weight which only one
+text has, the total weights bound the similarity from above.  For the rest the exact weighted Jaccard similarities of the whole texts are computed.  Pairs of SIMILARITY or more, by these weights or
 by term frequency alone, are links, and classes are their connected components, found by spreading the least label over the
 links.
 
@@ -50,6 +52,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SIEVE_BITS, MAX_SIEVE = 16, 1 << 28  #: bits for each wanted document, and in all (32 MB), of the sieve that keeps other texts out of a shuffle
+MAP_BITS, FOLDED = 1024, 256  #: cells of the parities that bound a similarity, and of those that a join looks at
+RARE = 1.5
 LIKELY = 0.5  #: least share of equal samples for a pair whose texts are compared
 SKETCH, SKETCH_ROWS, SKETCH_PARTS = 1 << 18, 2, 16
 
@@ -161,7 +165,24 @@ def _idf(first: DataFrame) -> Idf:
     return Idf(sketch, first.where("node IS NOT NULL").count())
 
 
-_SIGNATURE = "node binary, samples binary, keys array<bigint>"
+def parities(h: np.ndarray, rarity: np.ndarray, starts: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
+    """For each text 2 * bits bits (as bytes): whether an odd number of its distinct rare shingles falls into each cell, and the same
+    of the others."""
+    n = len(starts) - 1
+    place = np.repeat(np.arange(n), np.diff(starts)) * 2 + (rarity < RARE)
+    at, times = np.unique((c.mix(h + c.U64(77)) & c.U64(bits - 1)).astype(np.int64) + place * bits, return_counts=True)
+    at = at[times & 1 == 1]
+    return np.bincount(at >> 3, weights=(1 << (at & 7)).astype(np.float64), minlength=2 * n * bits // 8).astype(np.uint8).reshape(n, -1)
+
+
+def possible(a: np.ndarray, b: np.ndarray, weights_a: np.ndarray, weights_b: np.ndarray, least: float) -> np.ndarray:
+    """Pairs (rows of parities, and both kinds of total weights) that may be alike to `least` by one kind of weights."""
+    rare, others = np.bitwise_count(a ^ b).reshape(len(a), 2, -1).sum(2, dtype=np.int64).T
+    apart = np.stack([RARE * rare + others, rare + others], 1)
+    return (apart <= (weights_a + weights_b) * ((1 - least) / (1 + least) + SLACK) + SLACK).any(1)
+
+
+_SIGNATURE = "node binary, samples binary, map binary, w0 float, w1 float, keys array<bigint>"
 
 
 def _signatures(idf):
@@ -172,20 +193,33 @@ def _signatures(idf):
                 lists = [x for t in texts if (x := c.plain_words(t))]
                 if not lists:
                     continue
-                short, keys = samples(*weighted(*c.shingle_hashes(*c.gathered(lists, hasher), WIDTH), weights))
+                h, tf, starts = weighted(*c.shingle_hashes(*c.gathered(lists, hasher), WIDTH), None)
+                rarity = weights(h)
+                w = tf * rarity
+                short, keys = samples(h, w, starts)
+                maps, totals = parities(h, rarity, starts), [np.add.reduceat(x, starts[:-1]).astype(np.float32) for x in (w, tf)]
                 flat = pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel())
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, lists), pa.binary()), pa.array([x.tobytes() for x in np.ascontiguousarray(short.T)], pa.binary()), keys], names=["node", "samples", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, lists), pa.binary()), pa.array([x.tobytes() for x in np.ascontiguousarray(short.T)], pa.binary()), pa.array([x.tobytes() for x in maps], pa.binary()), *map(pa.array, totals), keys], names=["node", "samples", "map", "w0", "w1", "keys"])
 
     return run
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose samples agree often enough."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((a == b).mean(1) >= LIKELY))
+def _likely(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose samples agree often enough, and that may be alike."""
+        for batch in batches:
+            if batch.num_rows:
+                samples_, maps, weights = ([], [], [])
+                for side in "ab":
+                    own = {n: batch.column(batch.schema.get_field_index(f"{n}_{side}")) for n in ("samples", "map", "w0", "w1")}
+                    samples_.append(np.frombuffer(b"".join(own["samples"].to_pylist()), np.uint16).reshape(batch.num_rows, -1))
+                    maps.append(np.frombuffer(b"".join(own["map"].to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+                    weights.append(np.stack([own[n].to_numpy() for n in ("w0", "w1")], 1))
+                good = ((samples_[0] == samples_[1]).mean(1) >= LIKELY) & possible(*maps, *weights, least)
+                yield batch.select([0, 1]).filter(pa.array(good))
+
+    return c.lean(run)
 
 
 def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
@@ -217,7 +251,7 @@ def _compare(idf):
     return run
 
 
-_START = "key long, node binary, root binary, light boolean, before0 float, before1 float, weight0 float, weight1 float"
+_START = "key long, node binary, root binary, light boolean, before0 float, before1 float, weight0 float, weight1 float, map array<bigint>"
 SLACK = 1e-4  #: of a weight, for the rounding of floats
 
 
@@ -235,15 +269,16 @@ def starts(h: np.ndarray, rarity: np.ndarray, kinds: tuple[np.ndarray, ...], lea
 def _starts(idf, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, weights = c.WordHash(), idf.value
-        names = ["key", "node", "root", "light", "before0", "before1", "weight0", "weight1"]
+        names = ["key", "node", "root", "light", "before0", "before1", "weight0", "weight1", "map"]
         for batch in batches:
             for node, root, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), c.as_bytes(batch.column(2)), strict=True):
                 words = c.plain_words(text)
                 h, tf, _ = weighted(*c.shingle_hashes(hasher.of(words), np.array([0, len(words)]), WIDTH), None)
                 rarity = weights(h)
                 key, light, *numbers = starts(h, rarity, (tf * rarity, tf), least)
-                same = [pa.array([x], pa.binary()).take(pa.array(np.zeros(len(key), np.int64))) for x in (node, root)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *same, pa.array(light), *(pa.array(x.astype(np.float32)) for x in numbers)], names=names)
+                folded = parities(h, rarity, np.array([0, len(h)]), FOLDED)[0].view(np.int64).tolist()
+                *same, maps = (pa.array([x], t).take(pa.array(np.zeros(len(key), np.int64))) for x, t in ((node, pa.binary()), (root, pa.binary()), (folded, pa.list_(pa.int64()))))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *same, pa.array(light), *(pa.array(x.astype(np.float32)) for x in numbers), maps], names=names)
 
     return run
 
@@ -254,10 +289,12 @@ def _meeting(rows: DataFrame, least: float) -> DataFrame:
     spread = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
     shared = rows.join(spread, "key")
     a, b = (shared.select("key", *(F.col(x).alias(f"{side}_{x}") for x in own)) for side in ("a", "b"))
+    apart = lambda start: F.aggregate(F.zip_with(*(F.slice(f"{s}_map", start, FOLDED // 64) for s in "ab"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    rare, others = apart(1), apart(FOLDED // 64 + 1)
     enough = F.lit(False)
-    for k in (0, 1):
-        rest = F.least(*(F.col(f"{s}_weight{k}") - F.col(f"{s}_before{k}") for s in "ab"))
-        enough |= rest >= (F.col(f"a_weight{k}") + F.col(f"b_weight{k}")) * (least / (1 + least) - SLACK)
+    for k, differing in enumerate((rare * RARE + others, rare + others)):
+        rest, both = F.least(*(F.col(f"{s}_weight{k}") - F.col(f"{s}_before{k}") for s in "ab")), F.col(f"a_weight{k}") + F.col(f"b_weight{k}")
+        enough |= (rest >= both * (least / (1 + least) - SLACK)) & (differing <= both * ((1 - least) / (1 + least) + SLACK) + SLACK)
     met = a.where("a_light").join(b, "key").where((F.col("a_root") != F.col("b_root")) & enough)
     return met.select(F.least("a_node", "b_node").alias("centre"), F.greatest("a_node", "b_node").alias("node")).distinct()
 
@@ -292,16 +329,17 @@ def _sieve(wanted: DataFrame):
 def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scratch) -> tuple[DataFrame, DataFrame]:
     """(node, root) of nodes that links connect, and the links (centre, node)."""
     signatures = scratch.save(docs.select("text").mapInArrow(c.lean(_signatures(idf)), _SIGNATURE).dropDuplicates(["node"]), "signatures")
-    shorts = signatures.select("node", "samples")
+    told = ("samples", "map", "w0", "w1")
+    shorts = signatures.select("node", *told)
     bands = signatures.select("node", F.posexplode("keys").alias("band", "key"))
     buckets = scratch.save(bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n"), "buckets")
     members = scratch.save(bands.join(buckets, ["band", "key"]), "members")
     reps = first.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def likely(pairs: DataFrame) -> DataFrame:
-        one = scratch.save(pairs.join(shorts, "node").select("centre", "node", F.col("samples").alias("b")), "one_side")
-        both = one.join(shorts.select(F.col("node").alias("centre"), F.col("samples").alias("a")), "centre").select("centre", "node", "a", "b")
-        out = scratch.save(both.mapInArrow(c.lean(_likely), _PAIR), "likely")
+        one = scratch.save(pairs.join(shorts, "node").select("centre", "node", *(F.col(n).alias(f"{n}_b") for n in told)), "one_side")
+        both = one.join(shorts.select(F.col("node").alias("centre"), *(F.col(n).alias(f"{n}_a") for n in told)), "centre").select("centre", "node", *(f"{n}_{x}" for x in "ab" for n in told))
+        out = scratch.save(both.mapInArrow(_likely(least), _PAIR), "likely")
         scratch.drop(one)
         return out
 
@@ -321,11 +359,11 @@ def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scra
         return out
 
     def mixed(roots: DataFrame) -> DataFrame:
-        """(node, root, open): nodes in buckets of more than one root, with the bands of these."""
+        """(band, key, node, root) of the members of buckets of more than one root."""
         rooted = scratch.save(members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "rooted_members")
-        several = rooted.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band", "key")
-        out = scratch.save(rooted.join(several, ["band", "key"]).groupBy("node", "root").agg(F.collect_set("band").alias("open")), "split")  # at most BANDS to a node
-        scratch.drop(rooted)
+        several = scratch.save(rooted.groupBy("band", "key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("band", "key"), "several")
+        out = scratch.save(rooted.join(several, ["band", "key"]), "split")
+        scratch.drop(rooted, several)
         return out
 
     pairs = members.where(F.col("node") != F.col("centre")).select("centre", "node").distinct()
@@ -334,22 +372,19 @@ def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scra
     split = mixed(roots)
     if split.isEmpty():
         return roots, links
-    other = F.transform("open", lambda b: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.when(k != b, F.struct(F.least(b, k).alias("b"), F.greatest(b, k).alias("k")))))
-    both = F.array_distinct(F.filter(F.flatten(other), lambda x: x.isNotNull()))
-    parts = split.join(signatures.select("node", "keys"), "node").select("node", "root", "keys", F.explode(both).alias("x"))
-    parts = parts.select("node", "root", F.xxhash64("x.b", "x.k", F.element_at("keys", F.col("x.b") + 1), F.element_at("keys", F.col("x.k") + 1)).alias("part"))
-    parts = scratch.save(parts, "parts")
-    heads = parts.groupBy("part").agg(F.min(F.struct(F.xxhash64("part", "node"), "node", "root")).alias("h"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
-    heads = scratch.save(heads.select("part", F.col("h.node").alias("centre"), F.col("h.root").alias("centre_root")), "heads")
-    more = parts.join(heads, "part").where(F.col("root") != F.col("centre_root")).select("centre", "node").distinct()
+    first_root = F.coalesce("centre_root", "centre")
+    centres = buckets.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root")), "centre", "left").select("band", "key", first_root.alias("centre_root"))
+    outside = split.join(scratch.save(centres, "centre_roots"), ["band", "key"]).where(F.col("root") != F.col("centre_root"))
+    heads = scratch.save(outside.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("band", "node"), "node", "root")).alias("h")).select("band", "key", F.col("h.node").alias("centre"), F.col("h.root").alias("head_root")), "heads")
+    more = split.join(heads, ["band", "key"]).where(F.col("root") != F.col("head_root")).select("centre", "node").distinct()
     links = links.unionByName(compared(likely(more.join(pairs, ["centre", "node"], "left_anti"))))
-    scratch.drop(split, parts, heads, roots)
+    scratch.drop(split, heads, roots)
     roots = components(links, scratch)
-    split = mixed(roots)
+    split = scratch.save(mixed(roots).select("node", "root").distinct(), "mixed_nodes")
     if split.isEmpty():
         return roots, links
     texts = texts_of(split.select("node"))
-    rows = split.select("node", "root").join(texts, "node").select("node", "root", "text")
+    rows = split.join(texts, "node").select("node", "root", "text")
     rows = scratch.save(rows.mapInArrow(c.lean(_starts(idf, least)), _START), "starts")
     scratch.drop(texts, split, roots)
     met = scratch.save(_meeting(rows, least), "met")
