@@ -6,12 +6,16 @@ the corpus's universe that level 0 takes for listed by mistake, level 2 the list
 such, and so on until a level makes no mistake.  Over that complete universe the first level that denies a
 key settles the question, so membership is exact and needs no join of the corpus.
 
-A level's size follows from a count of its keys, which is checked against MAX_KEYS before anything is gathered: 200,000
-keys at up to 40 bits are 1 MB.  A list (or a set of mistakes) beyond that is answered by a join on the key
-instead.  Levels are built as (word, bits) aggregates and used as literal arrays inside the query: built-in functions only.
+A level's size follows from a count of its keys.  A list of more than SHARD_KEYS keys is cut by a hash into as many
+shards as it needs, with a cascade for each over the shard's part of the universe, and each row of the corpus is judged by the
+cascade of its own shard alone: a list of any size is answered exactly, without a join, and no task holds more than one
+shard's bits (SHARD_KEYS keys at up to 40 bits are 1 MB).  Levels are built as (word, bits) aggregates and used as
+literal arrays inside the query: built-in functions only.
 
 Defined results: a null url, or one without ://, has an empty host and path and fits no rule and no list
-(allow); an empty table gives an empty result; repeated pages are judged each; extra columns of pages are not read.
+(allow); a null page_id is kept as null; very long urls are judged whole; of rules that fit the longest wins, of equal ones (ties)
+the first; an empty table gives an empty result; repeated pages are judged each; extra columns of pages are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -31,10 +35,11 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Host labels whose hosts are listed in the query's blocklist.
-LISTED_LABELS = ("spam-farm", "cheap-pills", "casino-win", "adult-x", "free-bets", "ads-track")
+#: The query's blocklist holds these hosts, with each prefix and each ending.
+LISTED = ("spam-farm", "cheap-pills", "casino-win", "adult-x", "free-bets", "ads-track")
+PREFIXES, ENDINGS = ("", "www.", "m.", "blog."), (".example.com", ".example.net", ".example.org")
 MISTAKES = 0.01  #: most of the other keys that a level may take for its own; level 0 aims at half as many mistakes as it has keys
-MAX_KEYS = 200_000
+SHARD_KEYS = 200_000  #: listed keys to a cascade
 MOST_PROBES = 28
 
 
@@ -78,17 +83,15 @@ def _build(keys: DataFrame, level: int, probes: int, bits: int) -> Column:
     return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
 
-def cascade(listed: DataFrame, universe: DataFrame, max_keys: int = MAX_KEYS) -> list | None:
+def cascade(listed: DataFrame, universe: DataFrame) -> list:
     """Levels (probes, bits, words) that tell the keys of `listed` from all other keys of `universe` (column key, both
-    without repeats); None when a level would need more than max_keys keys."""
+    without repeats)."""
     inside, outside = listed, universe.join(listed, "key", "left_anti").cache()
     n_in, n_out = inside.count(), outside.count()
     levels: list = []
     kept = [outside]
     try:
         while n_in:
-            if n_in > max_keys:
-                return None
             rate = min(MISTAKES, 0.5 * n_in / n_out) if n_out and not levels else MISTAKES
             probes = min(MOST_PROBES, max(1, math.ceil(math.log2(1 / rate))))
             bits = max(64, math.ceil(n_in * probes / math.log(2)))
@@ -112,30 +115,38 @@ def is_listed(key: Column, levels: list) -> Column:
     return out
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES, max_keys: int = MAX_KEYS) -> DataFrame:
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards))
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages (page_id, url); listed (key) holds blocked hosts."""
+    scratch = c.Scratch(pages.sparkSession)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    universe = rows.select(F.col("host").alias("key")).distinct()
-    listed = listed.where(F.col("key").isNotNull() & (F.col("key") != "")).select("key").distinct()
-    levels = cascade(listed, universe, max_keys)
-    if levels is None:
-        rows = rows.join(listed.select(F.col("key").alias("host"), F.lit(True).alias("_listed")), "host", "left")
-        hit = F.coalesce("_listed", F.lit(False))
-    else:
-        hit = is_listed(F.col("host"), levels)
+    universe = scratch.save(rows.select(F.col("host").alias("key")).distinct(), "universe")
+    listed = scratch.save(listed.where(F.col("key").isNotNull() & (F.col("key") != "")).select("key").distinct(), "listed")
+    shards = max(1, -(-listed.count() // shard_keys))
+    own = _shard(F.col("key"), shards)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(hit, "block").otherwise("allow")).alias("verdict"))
+    out = None
+    for k in range(shards):
+        hit = is_listed(F.col("host"), cascade(listed.where(own == k), universe.where(own == k)))
+        part = rows if shards == 1 else rows.where(_shard(F.col("host"), shards) == k)
+        part = part.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(hit, "block").otherwise("allow")).alias("verdict"))
+        out = part if out is None else out.unionByName(part)
+    scratch.drop(universe, listed)
+    return out
 
 
-def blocklist(pages: DataFrame, labels=LISTED_LABELS) -> DataFrame:
-    """Hosts of pages that have one of the labels."""
-    hosts = pages.select(host_of(F.col("url")).alias("key")).distinct()
-    return hosts.where(F.arrays_overlap(F.split("key", r"\."), F.array(*[F.lit(x) for x in labels])))
+def blocklist(spark: SparkSession) -> DataFrame:
+    """The query's listed hosts (key), whether or not a page has them."""
+    parts = [F.explode(F.array(*map(F.lit, x))) for x in (PREFIXES, LISTED, ENDINGS)]
+    rows = spark.range(1).select(parts[0].alias("a")).select("a", parts[1].alias("b")).select("a", "b", parts[2].alias("c"))
+    return rows.select(F.concat("a", "b", "c").alias("key"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = c.table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, blocklist(pages))
+    return judge(c.table(spark, sf_dir, "pages").select("page_id", "url"), blocklist(spark))
 
 
 def _sql_case(what: str) -> str:
@@ -149,6 +160,6 @@ OP5_SQL = f"""
 WITH cut AS (SELECT page_id, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', ['host', 'path']), {{'host': '', 'path': ''}}) AS p FROM pages),
 parts AS (SELECT page_id, translate(p.host, '{c.UPPER}', '{c.LOWER}') AS host, p.path AS path FROM cut)
 SELECT page_id, host, path, CASE {_sql_case("rule")} END AS rule,
-  CASE {_sql_case("verdict")} WHEN list_has_any(string_split(host, '.'), {list(LISTED_LABELS)}) THEN 'block' ELSE 'allow' END AS verdict
+  CASE {_sql_case("verdict")} WHEN host IN {tuple(a + b + e for a in PREFIXES for b in LISTED for e in ENDINGS)} THEN 'block' ELSE 'allow' END AS verdict
 FROM parts
 """
