@@ -1,23 +1,25 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Vectors are lifted by one coordinate (sqrt(M^2 - |x|^2), M the largest norm; 0 for queries), which turns the largest inner product
-into the least distance, and projected onto DIMENSIONS random directions, anew for each of CURVES curves, with a
-random shift.  A Hilbert curve through the projections gives each vector a key; Spark range-partitions the keys,
-and counts of partitions turn sorted places into ranks.  Ranks are cut into blocks of BLOCK rows; a query visits the blocks
-that its window of ranks touches, each visit keeps its best, and the windows of all curves are merged and ranked
-again by the inner product in double precision.
-
-The window's width is fitted, not set: for FIT_QUERIES sampled queries the true neighbours are found by comparing them
-with every row (a fixed number of queries against all rows, in blocks), and the width is the smallest, as a share of the rows, for
-which the windows of all curves together hold GOAL of them.  On data with clusters that is a small share; on
-directions without any structure no order of the rows helps, and the width grows until the windows hold most rows.
+Vectors are lifted by one coordinate (sqrt(M^2 - |x|^2), M the largest norm; queries are brought to length M and lifted by 0), which
+turns the largest inner product into the least distance, and projected onto DIMENSIONS random directions, anew for each curve, with a random shift.  A
+Hilbert curve through the projections gives each vector a key; Spark range-partitions the keys of all curves in one shuffle, and
+counts of partitions turn sorted places into ranks.  Ranks are cut into blocks; a query visits the blocks that its window
+of ranks touches, each visit keeps its best, and the windows of all curves are merged and ranked again by the inner product in
+double precision.
+
+The number of curves, the window's width and the block's size are fitted, not set: for FIT_QUERIES sampled queries the true
+neighbours are found by comparing them with every row (a fixed number of queries against all rows, in blocks), one more scan
+counts their ranks along MOST_CURVES curves, and of all numbers of curves the one is taken whose windows hold GOAL of the
+true neighbours with the fewest rows visited.  On data with clusters that is a small share of the rows; on directions without
+any structure no order of the rows helps, and the windows grow until they hold most rows.
 
 Equal vectors are one point of the index (with their K + 1 least ids), so that a vector with very many copies neither
 fills windows nor hides the copies with the least ids.
 
 Defined results: vectors that are null, zero, or hold null, NaN or infinite components, and rows with a null id, take no part;
-so do vectors whose length is not the most frequent one; repeated ids are candidates each; fewer than K candidates are all returned;
-extra columns are not read.
+so do vectors whose length is not the most frequent one (ties: the shortest); ties in nearness go to smaller ids; repeated ids are
+candidates each; fewer than K candidates are all returned; long vectors are read whole; an empty table gives an empty result; extra
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ from quarry.llm import common as c
 
 K = 20
 QUERY_STEP = 20
-CURVES = 3
-DIMENSIONS = 6
+MOST_CURVES, CURVES = 24, (1, 2, 3, 4, 6, 8, 12, 16, 24)  #: of which the fit takes one number
+DIMENSIONS = 4
 BITS = 8
-BLOCK = 8192  #: rows that are held together: 4 MB at 64 dimensions
+LEAST_BLOCK, MOST_BLOCK = 64, 8192  #: rows that are held together: 4 MB at 64 dimensions
 FIT_QUERIES = 64
 FIT_ROWS = 10_000  #: rows whose projections set the grid
 GOAL = 0.95
@@ -76,7 +78,7 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 class Curves:
     """Projections, shifts and grids of all curves, fitted on a sample of rows."""
 
-    def __init__(self, sample: np.ndarray, most: float, curves: int = CURVES) -> None:
+    def __init__(self, sample: np.ndarray, most: float, curves: int = MOST_CURVES) -> None:
         rng, self.most = np.random.default_rng(SEED), most
         width = sample.shape[1] + 1
         self.maps, self.low, self.step = [], [], []
@@ -91,8 +93,11 @@ class Curves:
             self.step.append(span * 1.5 / (1 << BITS))
 
     def lift(self, x: np.ndarray, query: bool = False) -> np.ndarray:
-        extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.most**2 - (x * x).sum(1), 0))
-        return np.column_stack([x, extra])
+        """Points on a sphere of radius `most`; queries, whose length changes no order, at its equator."""
+        norm = np.sqrt((x * x).sum(1))
+        if query:
+            return np.column_stack([x * (self.most / np.maximum(norm, 1e-300))[:, None], np.zeros(len(x))])
+        return np.column_stack([x, np.sqrt(np.maximum(self.most**2 - norm**2, 0))])
 
     def keys(self, curve: int, x: np.ndarray, query: bool = False) -> np.ndarray:
         y = (self.lift(x, query) @ self.maps[curve] - self.low[curve]) / self.step[curve]
@@ -148,19 +153,23 @@ def _points(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
     return points, rows.select("id", "h1", "h2"), width
 
 
-def _ranked(rows: DataFrame, curves, curve: int, width: int, scratch: c.Scratch) -> DataFrame:
-    """(point, x, is_query, rank) along a curve, of rows (point, x, is_query); a query has the rank of the point before it."""
+def _ranked(rows: DataFrame, model, curves: int, n: int, width: int, scratch: c.Scratch) -> DataFrame:
+    """(curve, point, x, is_query, rank) of rows (point, x, is_query) along each curve; a query has the rank of the point before it.
+
+    One shuffle for all curves: as each curve has the same n points, a place in the order of all is a place in its curve.
+    """
     kind = rows.schema["x"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, q = matrix(batch.column(1), width), batch.column(2).to_numpy(zero_copy_only=False)
-            keys = np.where(q, curves.value.keys(curve, x, True), curves.value.keys(curve, x))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=["point", "x", "is_query", "key"])
+            for curve in range(curves):
+                keys = np.where(q, model.value.keys(curve, x, True), model.value.keys(curve, x))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), curve, np.int32)), *batch.columns, pa.array(keys)], names=["curve", "point", "x", "is_query", "key"])
 
-    keyed = rows.mapInArrow(c.lean(run), f"point long, x {kind}, is_query boolean, key long")
-    order = ["key", "point", "is_query"]
-    parts = scratch.save(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), f"curve{curve}")
+    keyed = rows.mapInArrow(c.lean(run), f"curve int, point long, x {kind}, is_query boolean, key long")
+    order = ["curve", "key", "point", "is_query"]
+    parts = scratch.save(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "curves")
     one = F.when(F.col("is_query"), 0).otherwise(1)
     start, offsets = 0, []
     for r in parts.groupBy("part").agg(F.sum(one).alias("n")).orderBy("part").collect():
@@ -168,7 +177,9 @@ def _ranked(rows: DataFrame, curves, curve: int, width: int, scratch: c.Scratch)
         start += r["n"]
     table = rows.sparkSession.createDataFrame(offsets, "part int, start long")  # one short row for each partition
     within = F.sum(one).over(Window.partitionBy("part").orderBy(*order))
-    return scratch.save(parts.join(table, "part").select("point", "x", "is_query", (F.col("start") + within - 1).alias("rank")), f"ranks{curve}")
+    out = scratch.save(parts.join(table, "part").select("curve", "point", "x", "is_query", (F.col("start") + within - 1 - F.col("curve") * F.lit(n)).alias("rank")), "ranks")
+    scratch.drop(parts)
+    return out
 
 
 def _truth(points: DataFrame, asked: list, width: int, k: int) -> dict[int, list[int]]:
@@ -185,16 +196,47 @@ def _truth(points: DataFrame, asked: list, width: int, k: int) -> dict[int, list
     return {r["query"]: r["points"] for r in got.collect()}
 
 
-def _window(ranked: list[DataFrame], truth: dict[int, list[int]], goal: float) -> int:
-    """The least distance of ranks that, on one curve at least, holds a share of `goal` of the true neighbours."""
-    spark = ranked[0].sparkSession
-    wanted = spark.createDataFrame([(p, False) for p in sorted({p for near in truth.values() for p in near})] + [(q, True) for q in truth], "point long, is_query boolean")
-    ranks = []
-    for r in ranked:
-        rows = r.join(F.broadcast(wanted), ["point", "is_query"]).select("point", "is_query", "rank").collect()  # of the sampled queries only
-        ranks.append({(x["point"], x["is_query"]): x["rank"] for x in rows})
-    gaps = sorted(min(abs(at[q, True] - at[p, False]) for at in ranks) for q, near in truth.items() for p in near if p != q)
-    return int(gaps[min(len(gaps) - 1, int(np.ceil(goal * len(gaps))))]) if gaps else 0
+def _fitted_ranks(points: DataFrame, model, asked: np.ndarray, near: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest ranks that the asked queries and the points near (both rows of components) may have along
+    MOST_CURVES curves: one scan of all points counts how many keys lie below each of theirs, and up to it."""
+    keys = np.stack([np.concatenate([model.value.keys(k, asked, True), model.value.keys(k, near)]) for k in range(MOST_CURVES)])
+    edges = np.sort(np.concatenate([keys, keys + 1], axis=1), axis=1)
+    shared = points.sparkSession.sparkContext.broadcast(edges)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, total = shared.value, None
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0), width)
+                own = np.stack([np.bincount(np.searchsorted(e, model.value.keys(k, x), side="right"), minlength=len(e) + 1) for k, e in enumerate(edges)])
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(MOST_CURVES, dtype=np.int32)), pa.array([r.astype(np.int64).tobytes() for r in total])], names=["curve", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"curve": table.column("curve").slice(0, 1), "counts": pa.array([total.tobytes()])})
+
+    schema = "curve int, counts binary"
+    got = {r["curve"]: np.frombuffer(r["counts"], np.int64) for r in points.select("x").mapInArrow(c.lean(count), schema).groupBy("curve").applyInArrow(add, schema).collect()}  # MOST_CURVES rows of a fixed size
+    low, high = (np.stack([np.cumsum(got[k])[np.searchsorted(edges[k], keys[k] + d)] for k in range(MOST_CURVES)]) for d in (0, 1))
+    return low, high
+
+
+def plan(gaps: np.ndarray, n: int, goal: float) -> tuple[int, int, int]:
+    """The number of curves, the half-window and the block that visit the fewest of n rows while the windows hold a share of `goal`;
+    gaps: distances of ranks by curve (rows) of true neighbours (columns)."""
+    if not gaps.size:
+        return 1, 0, LEAST_BLOCK
+    best = None
+    for curves in CURVES:
+        near = np.sort(gaps[:curves].min(0))
+        reach = int(near[min(len(near) - 1, int(np.ceil(goal * len(near))))])
+        block = min(MOST_BLOCK, max(LEAST_BLOCK, 1 << (reach // 2).bit_length()))
+        visited = curves * min(n, 2 * reach + block)
+        if best is None or visited < best[0]:
+            best = (visited, curves, reach, block)
+    return best[1:]
 
 
 def _visit(width: int, k: int):
@@ -221,8 +263,9 @@ def _visit(width: int, k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int = K, curves: int = CURVES, goal: float = GOAL, scratch: c.Scratch | None = None) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest of vectors (id, x) found for the rows where is_query(id) holds."""
+def search(vectors: DataFrame, is_query, k: int = K, goal: float = GOAL, scratch: c.Scratch | None = None, told: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest of vectors (id, x) found for the rows where is_query(id) holds; told gets
+    the fitted number of curves, half-window, block and number of points."""
     spark, scratch = vectors.sparkSession, scratch or c.Scratch(vectors.sparkSession)
     points, rows, width = _points(vectors.select(F.col("id").cast("long").alias("id"), "x"), k)
     points = scratch.save(points, "points")
@@ -233,22 +276,31 @@ def search(vectors: DataFrame, is_query, k: int = K, curves: int = CURVES, goal:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
     stats = points.agg(F.max(norm).alias("m"), F.count("*").alias("n")).collect()[0]
-    part = min(1.0, FIT_ROWS / stats["n"])
+    n = stats["n"]
+    part = min(1.0, FIT_ROWS / n)
     sample = points.where(F.pmod(F.xxhash64("point", F.lit("fit")), F.lit(1 << 30)) < int(part * (1 << 30))).select("x")
     fitted = np.array([r["x"] for r in sample.collect()] or [r["x"] for r in asked], np.float64)  # about FIT_ROWS rows
-    model = spark.sparkContext.broadcast(Curves(fitted, float(stats["m"]), curves))
+    model = spark.sparkContext.broadcast(Curves(fitted, float(stats["m"])))
+    truth = _truth(points, [(r["point"], r["x"]) for r in asked], width, k + 1)
+    wanted = spark.createDataFrame([(p,) for p in sorted({p for near in truth.values() for p in near})], "point long")
+    found = {r["point"]: r["x"] for r in points.join(F.broadcast(wanted), "point").select("point", "x").collect()}  # of the sampled queries only
+    near = sorted(found)
+    low, high = _fitted_ranks(points, model, np.array([r["x"] for r in asked], np.float64), np.array([found[p] for p in near], np.float64), width)
+    place = {p: len(asked) + i for i, p in enumerate(near)}
+    pairs = np.array([(i, place[p]) for i, r in enumerate(asked) for p in truth.get(r["point"], ()) if p != r["point"]], np.int64).reshape(-1, 2)
+    asks_at, near_at = pairs.T
+    curves, reach, block = plan(np.maximum(high[:, near_at] - low[:, asks_at], high[:, asks_at] - low[:, near_at]), n, goal)
+    if told is not None:
+        told.update(curves=curves, reach=reach, block=block, points=n)
     both = points.select("point", "x", F.lit(False).alias("is_query")).unionByName(queries.withColumn("is_query", F.lit(True)))
-    ranked = [_ranked(both, model, n, width, scratch) for n in range(curves)]
-    reach = _window(ranked, _truth(points, [(r["point"], r["x"]) for r in asked], width, k + 1), goal)
-    last = (stats["n"] - 1) // BLOCK
-    visits = None
-    for n, r in enumerate(ranked):
-        low, high = (F.least(F.greatest(F.floor((F.col("rank") + d) / BLOCK), F.lit(0)), F.lit(last)).cast("long") for d in (-reach, reach))
-        block = F.explode(F.when(F.col("is_query"), F.sequence(low, high)).otherwise(F.array(F.floor(F.col("rank") / BLOCK).cast("long"))))
-        own = r.select(block.alias("block"), "is_query", "point", "x").withColumn("block", F.col("block") + n * (last + 1))
-        visits = own if visits is None else visits.unionByName(own)
+    ranked = _ranked(both, model, curves, n, width, scratch)
+    last = (n - 1) // block
+    low, high = (F.least(F.greatest(F.floor((F.col("rank") + d) / block), F.lit(0)), F.lit(last)).cast("long") for d in (-reach, reach))
+    at = F.explode(F.when(F.col("is_query"), F.sequence(low, high)).otherwise(F.array(F.floor(F.col("rank") / block).cast("long"))))
+    visits = ranked.select("curve", at.alias("block"), "is_query", "point", "x").withColumn("block", F.col("block") + F.col("curve") * F.lit(last + 1)).drop("curve")
     met = visits.repartition("block").sortWithinPartitions("block", "is_query").mapInArrow(c.lean(_visit(width, k + 1)), _LISTS)
     nearest = scratch.save(met.groupBy("query").applyInArrow(_merged(k + 1), _LISTS), "nearest")
+    scratch.drop(ranked, queries)
     found = nearest.select("query", F.explode(F.arrays_zip("scores", "points")).alias("f")).select("query", F.col("f.scores").alias("score"), F.col("f.points").alias("point"))
     named = scratch.save(found.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id")), "named")
     out = asks.select(F.col("id").alias("query_id"), F.col("point").alias("query")).distinct().join(named, "query").where("vec_id != query_id")
