@@ -168,11 +168,14 @@ def _idf(first: DataFrame) -> Idf:
 def parities(h: np.ndarray, rarity: np.ndarray, starts: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
     """For each text 2 * bits bits (as bytes): whether an odd number of its distinct rare shingles falls into each cell, and the same
     of the others."""
-    n = len(starts) - 1
-    place = np.repeat(np.arange(n), np.diff(starts)) * 2 + (rarity < RARE)
-    at, times = np.unique((c.mix(h + c.U64(77)) & c.U64(bits - 1)).astype(np.int64) + place * bits, return_counts=True)
-    at = at[times & 1 == 1]
-    return np.bincount(at >> 3, weights=(1 << (at & 7)).astype(np.float64), minlength=2 * n * bits // 8).astype(np.uint8).reshape(n, -1)
+    n, few = len(starts) - 1, 1024  # texts counted at a time
+    out = np.empty((n, 2 * bits // 8), np.uint8)
+    cell = (c.mix(h + c.U64(77)) & c.U64(bits - 1)).astype(np.int64) + (rarity < RARE) * bits + np.repeat(np.arange(n), np.diff(starts)) % few * (2 * bits)
+    for at in range(0, n, few):
+        end = min(n, at + few)
+        odd = np.bincount(cell[starts[at] : starts[end]], minlength=(end - at) * 2 * bits).astype(np.uint8) & 1
+        out[at:end] = np.packbits(odd, bitorder="little").reshape(end - at, -1)
+    return out
 
 
 def possible(a: np.ndarray, b: np.ndarray, weights_a: np.ndarray, weights_b: np.ndarray, least: float) -> np.ndarray:
