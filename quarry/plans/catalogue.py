@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import court_queries, coverage_queries, join_queries, report_queries, text_queries, window_queries  # noqa: F401  they register
+from quarry.plans import court_queries, coverage_queries, io_queries, join_queries, report_queries, text_queries, window_queries  # noqa: F401  they register
 from quarry.plans.registry import ORACLES, QUERIES
 
 

@@ -50,6 +50,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that is there; nothing where the session has ended."""
+    try:
+        p, fs = _path(spark, path)
+        fs.delete(p, True)
+    except Exception:  # at interpreter exit
+        pass
+
+
 def first_existing(spark: SparkSession, *paths: str) -> str:
     """The first path that exists (plain file before compressed)."""
     for p in paths:
