@@ -179,3 +179,26 @@ def q153_distribution(t):
 @query("""WITH e AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT min(n) AS min_outdegree, max(n) AS max_outdegree, avg(n)::DECIMAL(12, 2)::DOUBLE AS avg_outdegree FROM e""")
 def q154_out_degree(t):
     return ST.out_degree(t.lineitem.select(F.col("l_orderkey").alias("citing_opinion_id"))).withColumn("avg_outdegree", F.col("avg_outdegree").cast("double"))
+
+
+_FILED = M.Mini("party_filed", "case_id int, person_id int, filed date", [(1, 1, M._D(1980, 1, 1)), (2, 1, M._D(1990, 1, 1)), (3, 2, M._D(1990, 1, 1)), (4, 8, M._D(2000, 1, 1)), (5, None, M._D(2000, 1, 1)), (6, 3, M._D(1995, 1, 1))])
+_APPOINTED = M.Mini("appointed", "case_id int, appointing_party string", [(1, "Republican"), (2, "None (assignment)"), (3, None), (4, "None (reassignment)"), (5, "Democratic"), (6, "")])
+
+
+@query(f"""WITH {M.ctes(_FILED, _APPOINTED, M.AFFILIATIONS)}, own AS (SELECT case_id, arg_max(political_party, (a.date_start, a.id)) AS code FROM party_filed f JOIN affiliations a USING (person_id) WHERE a.date_start <= filed AND coalesce(a.date_end >= filed, true) GROUP BY 1),
+only_one AS (SELECT person_id, any_value(political_party) AS code FROM affiliations GROUP BY 1 HAVING count(*) = 1),
+named AS (SELECT f.case_id, appointing_party, map {{'d': 'Democratic', 'r': 'Republican', 'i': 'Independent', 'w': 'Whig'}}[coalesce(own.code, only_one.code)] AS registered FROM party_filed f JOIN appointed USING (case_id) LEFT JOIN own USING (case_id) LEFT JOIN only_one ON only_one.person_id = f.person_id)
+SELECT case_id, registered, coalesce(CASE WHEN appointing_party NOT LIKE 'None%' THEN nullif(appointing_party, '') END, registered) AS party, CASE WHEN appointing_party NOT LIKE 'None%' THEN 'appointing_president' WHEN registered IS NOT NULL THEN 'registered_affiliation' END AS measure FROM named""")
+def q155_party_convenience(t):
+    rows = L.affiliation_as_of(_FILED.df(t.spark), M.AFFILIATIONS.df(t.spark)).select("case_id", F.col("party").alias("registered")).join(_APPOINTED.df(t.spark), "case_id")
+    party, measure = L.party_convenience(F.col("appointing_party"), F.col("registered"))
+    return rows.select("case_id", "registered", party.alias("party"), measure.alias("measure"))
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(f"SELECT table_name, CAST(ordinal_position AS INTEGER) AS position, column_name FROM information_schema.columns WHERE table_name IN {_TABLES}")
+def q156_data_dictionary(t):
+    rows = S.data_dictionary({name: getattr(t, name) for name in _TABLES})
+    return t.spark.createDataFrame([r[:3] for r in rows], "table_name string, position int, column_name string")
