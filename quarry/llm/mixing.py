@@ -15,8 +15,7 @@ group's last taken document lies, and only the rows of that range are ranked, fo
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own, last in
 order; rows that repeat both doc_id and text within a source share one decision, ties between them are not broken (the fit may
 then miss by their sizes); a very long text is one document of its length; a null doc_id is one like any other; an empty table
-gives an empty result.  Extra columns are kept, whatever their names, by `mix`.  The sources themselves (one short row each) are
-handled by the driver.
+gives an empty result.  Extra columns are kept, whatever their names, by `mix`.
 """
 
 from __future__ import annotations
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm import common as c
+from quarry.operators.windows import surrogate_key
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -107,17 +107,31 @@ def _fit_source(rows: pa.Table) -> pa.Table:
     return rows.select(["_sid", "_size", "_n"]).append_column("_take", pa.array(take, pa.int64()))
 
 
-def source_plan(histogram: DataFrame, **options) -> DataFrame:
-    """(_source, _sid, _source_size, _target, _passes, _rest) of each source; histogram has _source, _size, _n."""
-    spark = histogram.sparkSession
-    got = histogram.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n")).alias("t")).collect()
-    totals = sorted(((r["_source"], int(r["t"])) for r in got), key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    wanted = targets([n for _, n in totals], **options)
-    rows = []
-    for i, ((source, n), t) in enumerate(zip(totals, wanted, strict=True)):
-        passes = int(t // n) if n else 0
-        rows.append((source, i, n, float(t), passes, max(0, round(t - passes * n))))
-    return spark.createDataFrame(rows, "_source string, _sid int, _source_size long, _target double, _passes int, _rest long")
+def source_plan(histogram: DataFrame, scratch: c.Scratch, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST_REPEATS) -> DataFrame:
+    """(_source, _sid, _source_size, _target, _passes, _rest) of each source; histogram has _source, _size, _n.
+
+    Sources are numbered in the order of their code points by a range shuffle, and the share of the free ones is found by
+    sums over the sources, once for each time that some of them reach their limit: `targets` for any number of sources.
+    """
+    sizes = histogram.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n")).alias("_source_size"))
+    numbered = surrogate_key(sizes, ["_source"], "_number").withColumn("_sid", (F.col("_number") - 1).cast("int"))
+    own = F.element_at(F.array(*map(F.lit, weights)), (F.col("_sid") % len(weights) + 1).cast("int"))
+    rows = scratch.save(numbered.select("_source", "_sid", "_source_size", own.alias("_weight")), "sources")
+    limit = F.col("_source_size") * F.lit(most)
+    sums = rows.agg(F.sum("_weight").alias("w"), F.sum("_source_size").alias("t")).collect()[0]
+    total, whole = sums["w"] or 0, budget * (sums["t"] or 0)
+    left = whole
+    share = lambda: F.lit(float(left)) * F.col("_weight") / F.lit(float(total))
+    while total:
+        free = share() <= limit
+        got = rows.agg(F.coalesce(F.sum(F.when(free, F.col("_weight"))), F.lit(0)).alias("w"), F.coalesce(F.sum(F.when(~free, limit)), F.lit(0.0)).alias("t")).collect()[0]
+        if got["w"] == total:
+            break
+        total, left = got["w"], whole - float(got["t"])
+    target = F.least(share(), limit.cast("double")) if total else limit.cast("double")
+    planned = rows.withColumn("_target", target).withColumn("_passes", F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0).cast("int"))
+    rest = F.greatest(F.rint(F.col("_target") - F.col("_passes") * F.col("_source_size")), F.lit(0)).cast("long")
+    return scratch.save(planned.select("_source", "_sid", "_source_size", "_target", "_passes", rest.alias("_rest")), "source_plan")
 
 
 def _own() -> dict[str, Column]:
@@ -155,7 +169,7 @@ def _results() -> list[Column]:
 def _planned(docs: DataFrame, scratch: c.Scratch, options: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
     narrow = scratch.save(docs.select("doc_id", *(x.alias(n) for n, x in _own().items())), "sizes")
     histogram = scratch.save(narrow.groupBy("_source", "_size").agg(F.count("*").alias("_n")), "histogram")
-    sources = source_plan(histogram, **options)
+    sources = source_plan(histogram, scratch, **options)
     with_sid = narrow.join(sources.select("_sid", F.col("_source").alias("_name")), F.col("_source").eqNullSafe(F.col("_name"))).select("_sid", "_size", "_h", "_h2")
     return narrow, sources, _group_plan(with_sid, sources, histogram, scratch)
 
