@@ -176,8 +176,9 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(LOWER_TABLE, PUNCTUATION).split()
 
 
-def chunks(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts of a batch in runs of about most_bytes (a longer text is a run of its own), each with its first row."""
+def chunks(batch: pa.RecordBatch, column: str, most_bytes: int = 400_000) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of a batch in runs of about most_bytes (a longer text is a run of its own), each with its first row.  Arrays of the words of
+    so many bytes stay in a core's cache, which counts where all cores of a machine work at once."""
     texts = as_bytes(batch.column(batch.schema.get_field_index(column)))
     lengths = np.array([len(x) for x in texts])
     start = 0
@@ -188,6 +189,57 @@ def chunks(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> I
         start += n
 
 
+_SLICE = 1 << 20  #: bytes that are hashed at a time (a longer word is a slice of its own)
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[list(BLANK.encode())] = True
+_LETTERS = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) << U64(1) | U64(1)
+_LETTERS[_IS_BLANK] = 0
+_P = 0xD1B54A32D192ED03  # odd, so it has an inverse modulo 2**64
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of _P and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, U64), np.full(max(n, 1 << 16), x, U64)])) for x in (_P, pow(_P, -1, 1 << 64))]
+    return _POWERS
+
+
+def _hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of an array of bytes starts, and its hash: the sum of its letters' numbers times powers, mixed."""
+    blank = _IS_BLANK[raw]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+    begin, end = edges[::2], edges[1::2]
+    power, inverse = _powers(len(raw))
+    sums = np.zeros(len(raw) + 1, U64)
+    np.cumsum(_LETTERS[raw] * power[: len(raw)], out=sums[1:])
+    return begin, mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(U64))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the plain words of all texts, one text after the other, and where each text starts (with the end last).
+
+    Whole arrays of bytes are hashed at once: in corpora whose words are mostly rare, a memory of words helps little.
+    """
+    plain = [t.translate(LOWER_TABLE, PUNCTUATION) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in plain])]).astype(np.int64)
+    raw = np.frombuffer(b"\n".join([*plain, b""]), np.uint8)
+    begins, hashes, at = [], [], 0
+    while at < len(raw):
+        end = min(len(raw), at + _SLICE)
+        if end < len(raw):  # to the next blank
+            step = end
+            while step < len(raw) and not (hit := np.flatnonzero(_IS_BLANK[raw[step : step + _SLICE]])).size:
+                step += _SLICE
+            end = min(len(raw), step + int(hit[0])) if step < len(raw) else len(raw)
+        begin, h = _hashed_words(raw[at:end])
+        begins.append(begin + at)
+        hashes.append(h)
+        at = end
+    begin = np.concatenate([*begins, np.zeros(0, np.int64)])
+    return np.concatenate([*hashes, np.zeros(0, U64)]), np.searchsorted(begin, offsets)
+
+
 def gathered(lists: list[list[bytes]], hasher: WordHash) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, one text after the other, and where each text starts (with the end last)."""
     starts = np.zeros(len(lists) + 1, np.int64)

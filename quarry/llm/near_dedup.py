@@ -62,11 +62,13 @@ _TABLE = 1 << 16
 _GAMMA = _R.gamma(2, 1, _TABLE).astype(np.float32)
 _BETA = _R.random(_TABLE, np.float32)
 _LOG_C = np.log(_R.gamma(2, 1, _TABLE)).astype(np.float32)
+_PER_GAMMA, _SHIFT = 1 / _GAMMA, _GAMMA * (_BETA - 1)
 _MULA, _MULB = (_R.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << c.U64(1) | c.U64(1) for _ in range(2))
 
 
-def node_of(words: list[bytes]) -> bytes | None:
-    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
+def nodes_of(h: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
+    """The name of each text: a hash of its words' hashes in order, null without words."""
+    return [xxhash.xxh3_128_digest(h[a:b].tobytes()) if b > a else None for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
 _SHORT = c.U64(24)  #: bits that the sketch and sorting leave out of a shingle's hash
@@ -102,18 +104,25 @@ def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> tuple[np.ndarra
     """For each text with shingles, 16 bits of each consistent weighted sample (shingle, quantised weight), and BANDS keys."""
     some = np.flatnonzero(np.diff(starts) > 0)
     at, log_w = starts[some], np.log(w).astype(np.float32)
+    n = np.diff(np.append(at, len(h)))
     keys, short = np.zeros((BANDS, len(some)), c.U64), np.zeros((BANDS * ROWS, len(some)), np.uint16)
-    place = np.arange(len(h), dtype=c.U64)
+    x, y = np.empty_like(h), np.empty_like(h)
     for j in range(BANDS * ROWS):
-        x = h * _MULA[j]
-        ia = (x >> c.U64(48)).astype(np.int64)
-        ib = ((h ^ (x >> c.U64(32))) * _MULB[j] >> c.U64(48)).astype(np.int64)
-        r, beta = _GAMMA[ia], _BETA[ia]
-        t = np.floor(log_w / r + beta)
-        value = (_LOG_C[ib] - r * (t - beta + np.float32(1))).view(np.uint32)
-        value = np.where(value >> np.uint32(31), ~value, value | np.uint32(1 << 31))  # in the order of the floats
-        best = np.minimum.reduceat(value.astype(c.U64) << c.U64(32) | place, at) & c.U64(0xFFFFFFFF)
-        best = best.astype(np.int64)
+        np.multiply(h, _MULA[j], out=x)
+        np.right_shift(x, c.U64(32), out=y)
+        y ^= h
+        y *= _MULB[j]
+        ia, ib = ((z >> c.U64(48)).astype(np.intp) for z in (x, y))
+        t = _PER_GAMMA.take(ia)
+        t *= log_w
+        t += _BETA.take(ia)
+        np.floor(t, out=t)
+        value = _GAMMA.take(ia)
+        value *= t
+        np.subtract(_SHIFT.take(ia), value, out=value)
+        value += _LOG_C.take(ib)
+        least = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, at), n))
+        best = least[np.searchsorted(least, at)]  # the first of each text
         one = c.mix(h[best] + c.mix(t[best].astype(np.int64).view(c.U64) + c.U64(j)))
         keys[j // ROWS] = c.mix(keys[j // ROWS] * c.U64(0x9E3779B97F4A7C15) + one)
         short[j] = one >> c.U64(48)
@@ -124,18 +133,18 @@ _PASS1 = "doc_id long, k1 long, k2 long, node binary, part int, counts binary"
 
 
 def _nodes_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher, sketch = c.WordHash(), np.zeros((SKETCH_ROWS, SKETCH), np.int64)
+    sketch = np.zeros((SKETCH_ROWS, SKETCH), np.int64)
     names = ["doc_id", "k1", "k2", "node", "part", "counts"]
     for batch in batches:
-        for start, texts in c.chunks(batch, "text"):
-            lists = [c.plain_words(t) for t in texts]
-            h, starts = c.shingle_hashes(*c.gathered(lists, hasher), WIDTH)
+        for start, texts in c.chunks(batch, "text", 1_000_000):
+            words = c.word_hashes(texts)
+            h, starts = c.shingle_hashes(*words, WIDTH)
             owner = np.repeat(np.arange(len(texts), dtype=c.U64), np.diff(starts))
             once = np.unique(owner << c.U64(40) | h >> _SHORT) & c.U64((1 << 40) - 1)
             for row, at in zip(sketch, cells(once), strict=True):
                 row += np.bincount(at, minlength=SKETCH)
             n = len(texts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, n) for k in range(3)), pa.array(map(node_of, lists), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, n) for k in range(3)), pa.array(nodes_of(*words), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     for part, block in enumerate(np.split(sketch, SKETCH_PARTS, axis=1)):
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), pa.array([part], pa.int32()), pa.array([pa.compress(block.tobytes(), codec="zstd", asbytes=True)])], names=names)
 
@@ -190,20 +199,21 @@ _SIGNATURE = "node binary, samples binary, map binary, w0 float, w1 float, keys
 
 def _signatures(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, weights = c.WordHash(), idf.value
+        weights = idf.value
         for batch in batches:
             for _, texts in c.chunks(batch, "text"):
-                lists = [x for t in texts if (x := c.plain_words(t))]
-                if not lists:
+                words, at = c.word_hashes(texts)
+                if not len(words):
                     continue
-                h, tf, starts = weighted(*c.shingle_hashes(*c.gathered(lists, hasher), WIDTH), None)
+                at = np.append(at[:-1][np.diff(at) > 0], len(words))  # texts with words
+                h, tf, starts = weighted(*c.shingle_hashes(words, at, WIDTH), None)
                 rarity = weights(h)
                 w = tf * rarity
                 short, keys = samples(h, w, starts)
                 maps, totals = parities(h, rarity, starts), [np.add.reduceat(x, starts[:-1]).astype(np.float32) for x in (w, tf)]
                 flat = pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel())
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, lists), pa.binary()), pa.array([x.tobytes() for x in np.ascontiguousarray(short.T)], pa.binary()), pa.array([x.tobytes() for x in maps], pa.binary()), *map(pa.array, totals), keys], names=["node", "samples", "map", "w0", "w1", "keys"])
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(at), dtype=np.int32) * BANDS), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes_of(words, at), pa.binary()), pa.array([x.tobytes() for x in np.ascontiguousarray(short.T)], pa.binary()), pa.array([x.tobytes() for x in maps], pa.binary()), *map(pa.array, totals), keys], names=["node", "samples", "map", "w0", "w1", "keys"])
 
     return run
 
@@ -234,14 +244,13 @@ def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
 
 def _compare(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, weights, memory = c.WordHash(), idf.value, {}
+        weights, memory = idf.value, {}
 
         def known(node: bytes, text: bytes):
             if node not in memory:
                 if len(memory) >= 64:
                     memory.clear()
-                words = c.plain_words(text)
-                h, tf, _ = weighted(*c.shingle_hashes(hasher.of(words), np.array([0, len(words)]), WIDTH), None)
+                h, tf, _ = weighted(*c.shingle_hashes(*c.word_hashes([text]), WIDTH), None)
                 memory[node] = (h, tf * weights(h), tf)
             return memory[node]
 
@@ -271,17 +280,23 @@ def starts(h: np.ndarray, rarity: np.ndarray, kinds: tuple[np.ndarray, ...], lea
 
 def _starts(idf, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, weights = c.WordHash(), idf.value
+        weights = idf.value
         names = ["key", "node", "root", "light", "before0", "before1", "weight0", "weight1", "map"]
         for batch in batches:
-            for node, root, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), c.as_bytes(batch.column(2)), strict=True):
-                words = c.plain_words(text)
-                h, tf, _ = weighted(*c.shingle_hashes(hasher.of(words), np.array([0, len(words)]), WIDTH), None)
+            keys, light, numbers, maps = [], [], [], []
+            for text in c.as_bytes(batch.column(2)):
+                h, tf, _ = weighted(*c.shingle_hashes(*c.word_hashes([text]), WIDTH), None)
                 rarity = weights(h)
-                key, light, *numbers = starts(h, rarity, (tf * rarity, tf), least)
-                folded = parities(h, rarity, np.array([0, len(h)]), FOLDED)[0].view(np.int64).tolist()
-                *same, maps = (pa.array([x], t).take(pa.array(np.zeros(len(key), np.int64))) for x, t in ((node, pa.binary()), (root, pa.binary()), (folded, pa.list_(pa.int64()))))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *same, pa.array(light), *(pa.array(x.astype(np.float32)) for x in numbers), maps], names=names)
+                key, may, *own = starts(h, rarity, (tf * rarity, tf), least)
+                keys.append(key.view(np.int64))
+                light.append(may)
+                numbers.append(np.stack(own).astype(np.float32))
+                maps.append(parities(h, rarity, np.array([0, len(h)]), FOLDED)[0].view(np.int64))
+            if keys:
+                owner = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+                folded = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * (FOLDED // 32)), pa.array(np.concatenate(maps)))
+                columns = [pa.array(np.concatenate(keys)), *(batch.column(k).take(owner) for k in (0, 1)), pa.array(np.concatenate(light)), *map(pa.array, np.concatenate(numbers, axis=1)), folded.take(owner)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -305,8 +320,8 @@ def _meeting(rows: DataFrame, least: float) -> DataFrame:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Only rows whose text is that of the node."""
     for batch in batches:
-        right = [node_of(c.plain_words(t)) == n for n, t in zip(batch.column(0).to_pylist(), c.as_bytes(batch.column(1)), strict=True)]
-        yield batch.filter(pa.array(right, pa.bool_()))
+        nodes = [x for _, texts in c.chunks(batch, "text") for x in nodes_of(*c.word_hashes(texts))]
+        yield batch.filter(pa.array([a == b for a, b in zip(nodes, batch.column(0).to_pylist(), strict=True)], pa.bool_()))
 
 
 _PAIR = "centre binary, node binary"
@@ -378,10 +393,11 @@ def _links(docs: DataFrame, first: DataFrame, idf, least: float, scratch: c.Scra
     first_root = F.coalesce("centre_root", "centre")
     centres = buckets.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root")), "centre", "left").select("band", "key", first_root.alias("centre_root"))
     outside = split.join(scratch.save(centres, "centre_roots"), ["band", "key"]).where(F.col("root") != F.col("centre_root"))
+    outside = scratch.save(outside, "outside")  # so that heads are combined before the shuffle
     heads = scratch.save(outside.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("band", "node"), "node", "root")).alias("h")).select("band", "key", F.col("h.node").alias("centre"), F.col("h.root").alias("head_root")), "heads")
     more = split.join(heads, ["band", "key"]).where(F.col("root") != F.col("head_root")).select("centre", "node").distinct()
     links = links.unionByName(compared(likely(more.join(pairs, ["centre", "node"], "left_anti"))))
-    scratch.drop(split, heads, roots)
+    scratch.drop(split, outside, heads, roots)
     roots = components(links, scratch)
     split = scratch.save(mixed(roots).select("node", "root").distinct(), "mixed_nodes")
     if split.isEmpty():
