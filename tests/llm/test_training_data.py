@@ -187,6 +187,23 @@ def test_bound_never_leaves_out_pairs_that_are_alike():
     assert left > tried / 5
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("aB\u00e9., \t\n\x0b-x") for _ in range(r.randrange(60))).encode() for _ in range(400)] + [b"", b" ", b"...", LONG.encode(), b"y" * 5000]
+    for size in (c._SLICE, 64):
+        monkeypatch.setattr(c, "_SLICE", size)
+        h, starts = c.word_hashes(texts)
+        lists = [c.plain_words(t) for t in texts]
+        assert np.diff(starts).tolist() == [len(x) for x in lists]
+        known = {}
+        for word, value in zip((w for x in lists for w in x), h.tolist(), strict=True):
+            assert known.setdefault(word, value) == value
+        assert len(set(known.values())) == len(known)
+    words = {b"%d" % i for i in range(200_000)}
+    assert len(set(c.word_hashes([b" ".join(words)])[0].tolist())) == len(words)
+    assert len(c.word_hashes([])[0]) == 0 and c.word_hashes([b""])[1].tolist() == [0, 0]
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     words = [str(i).encode() for i in range(400)]
     a, b = words[:300], words[30:330]
@@ -507,6 +524,20 @@ def test_targets():
     assert got[0] == 20 and got[2] == 200 and abs(sum(got) - 1.5 * 1110) < 1e-9 and mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
 
 
+def test_targets_of_many_sources(spark):
+    r = random.Random(12)
+    for n in (1, 2, 7, 500):
+        sizes = [r.choice((0, 1, r.randrange(100), r.randrange(100_000))) for _ in range(n)]
+        names = sorted({"".join(r.choice("aB\u00e9\U0001f600z ") for _ in range(9)) + str(i) for i in range(n)}, key=lambda x: x.encode())
+        if n > 2:
+            names[-1] = None
+        rows = [(s, 1, k) for s, k in zip(names, sizes, strict=True)]
+        got = mixing.source_plan(spark.createDataFrame(r.sample(rows, n), "_source string, _size long, _n long"), c.Scratch(spark)).orderBy("_sid").collect()
+        want = mixing.targets(sizes)
+        assert [x["_source"] for x in got] == names and all(abs(x["_target"] - w) < 1e-6 * max(1, w) for x, w in zip(got, want, strict=True))
+        assert all(x["_passes"] == (int(x["_target"] // k) if k else 0) and abs(x["_passes"] * k + x["_rest"] - x["_target"]) <= 0.5 for x, k in zip(got, sizes, strict=True))
+
+
 def test_mixing(spark, docs, empty):
     hot = [(5000 + i, "a b c d e f g", "en", "s9", 1) for i in range(3000)]
     df = docs.unionByName(spark.createDataFrame(hot, SCHEMA))
