@@ -9,14 +9,14 @@ from pyspark.sql.window import Window
 from quarry.functions.exprs import hash_order
 
 
-def surrogate_key(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers 1, 2, ... in a total order of columns (nulls last).
+def surrogate_key(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """Numbers 1, 2, ... in a total order of columns (nulls last, where they are told by name).
 
     One shuffle: rows are range-partitioned, sorted where they are, and numbered by their place in the partition plus the sizes
     of the partitions before it.  The sizes are counted from the same exchange (every column is read there too, so that the
     two sides share it).
     """
-    by = [F.col(c).asc_nulls_last() for c in order]
+    by = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
     parts = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
     parts = parts.withColumns({"_part": F.shiftright("_at", 33), "_n": F.col("_at").bitwiseAND((1 << 33) - 1) + 1})  # partition above, place in it below
     sizes = parts.groupBy("_part").agg(F.max("_n").alias("_size"), F.max(F.xxhash64(*df.columns)).alias("_all")).where("_all IS NOT NULL")

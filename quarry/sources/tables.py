@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.windows import surrogate_key
+
 _NEVER = "\x00"  #: a null marker that no file holds: quoted-empty fields stay empty, unquoted ones become null
 
 
@@ -79,16 +81,27 @@ def write_csv(df: DataFrame, path: str, header: bool = True, order: list[str] |
     out.coalesce(1).write.mode("overwrite").options(header=header, quoteAll=False, **({"compression": compression} if compression else {})).csv(path)
 
 
-def dump(df: DataFrame, path: str, keys: list[str] | None = None) -> dict:
-    """A reproducible ordered dump (range-partitioned, part after part, compressed) and its manifest.
+DUMP_ROWS = 1 << 18  #: of a part of a dump
+
 
-    Rows are counted while they are written; parts are digested where they lie, by the executors.
+def dump(df: DataFrame, path: str, keys: list[str] | None = None, part_rows: int = DUMP_ROWS) -> dict:
+    """A reproducible ordered dump (part after part, compressed) and its manifest.
+
+    Rows are numbered in the order of the keys, then of the other columns (ties are equal rows), and every part has part_rows of
+    them, the last one the rest: parts follow from the rows alone, not from how these lie or from sampled ranges.  Rows are counted
+    while they are written; parts are digested where they lie, by the executors.
     """
-    seen = Observation("dump")
-    by = [F.col(c).asc_nulls_first() for c in (keys or df.columns)]
-    df.orderBy(*by).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").options(header=True, compression="bzip2").csv(path)
+    seen, n = Observation("dump"), df.count()
+    columns = list(dict.fromkeys([*(keys or []), *df.columns]))
+    signed = [c for c in columns if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))]  # -0.0 and 0.0 tie, but are written apart
+    by = [x.asc_nulls_first() for x in (*map(F.col, columns), *(F.col(c).cast("string") for c in signed))]
+    parts = surrogate_key(df, by, "_number").repartitionById(max(1, -(-n // part_rows)), F.floor((F.col("_number") - 1) / part_rows).cast("int"))
+    parts = parts.sortWithinPartitions("_number").drop("_number")
+    parts.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").options(header=True, compression="bzip2").csv(path)
+    if (got := seen.get["n"]) != n:
+        raise RuntimeError(f"{path}: {got} rows, expected {n}")
     parts = df.sparkSession.read.format("binaryFile").load(path).where(F.col("path").contains("part-")).select("path", "length", F.sha2("content", 256).alias("sha256")).orderBy("path").collect()  # one row a part
-    return {"rows": seen.get["n"], "bytes": sum(r["length"] for r in parts), "sha256": [r["sha256"] for r in parts]}
+    return {"rows": n, "bytes": sum(r["length"] for r in parts), "sha256": [r["sha256"] for r in parts]}
 
 
 def copy_table(src: DataFrame, path: str) -> int:

@@ -1,5 +1,6 @@
 """Reference-shaped miniature cases: names, ladders, dockets, dates, affiliations, extraction, sources, checks."""
 
+import bz2
 import datetime as dt
 
 import pytest
@@ -162,6 +163,23 @@ def test_sources(spark, tmp_path):
     assert sorted(map(tuple, S.upsert(prior, new, "id", ["v"]).collect())) == [(1, "yes"), (2, None)]
 
 
+def test_dump_does_not_depend_on_partitions(spark, tmp_path):
+    rows = spark.range(3000).select((F.col("id") % 7).alias("k"), F.when(F.col("id") % 5 > 0, F.xxhash64("id").cast("string")).alias("v"), F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("z"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # more ranges than one, as in large tables
+    try:
+        whole, again = S.dump(rows, str(tmp_path / "w"), ["k"]), S.dump(rows.repartition(11), str(tmp_path / "v"), ["k"])
+        assert whole == again
+        told = [S.dump(rows.repartition(n), str(tmp_path / f"t{n}"), ["k"], part_rows=700) for n in (3, 11)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert told[0] == told[1] and told[0]["rows"] == 3000 and len(told[0]["sha256"]) == 5
+    lines = lambda name: [x for f in sorted((tmp_path / name).glob("part-*")) for x in bz2.decompress(f.read_bytes()).decode().splitlines()[1:]]
+    assert lines("t3") == lines("w") and len(whole["sha256"]) == 1
+    assert [x.split(",")[0] for x in lines("w")] == [str(k) for k in range(7) for _ in range(429 if k < 4 else 428)]
+    assert S.dump(rows.where("k > 9"), str(tmp_path / "none"))["rows"] == 0
+
+
 def test_stream(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(str(tmp_path / "events"))
     q = ST.windowed_counts(ST.read_events(spark, str(tmp_path / "events")), "1 day").writeStream.outputMode("complete").format("memory").queryName("counts").start()
