@@ -79,6 +79,35 @@ def best_tier(candidates: DataFrame, keys: list[str], tier: str) -> DataFrame:
     return candidates.withColumn("_best", F.min(tier).over(Window.partitionBy(*keys))).where(F.col(tier) == F.col("_best")).drop("_best")
 
 
+def tier_groups(rows: DataFrame, key: str, tiers: list[list[str]], value: str) -> DataFrame:
+    """For each key with a candidate, the consensus of its best tier, as `consensus` tells it; candidates of tier i are the rows of
+    other keys that agree on the columns tiers[i - 1] and on those of no earlier tier.  The last tier's columns are among
+    those of every tier.
+
+    A key's best tier is its first group that holds another key, and all other keys of that group are of this tier.  So each
+    group is listed once and a key takes its own name out of the list: no pair of keys is made.
+    """
+    used = list(dict.fromkeys(c for columns in tiers for c in columns))
+    masked = lambda i, columns: F.struct(F.lit(i).alias("tier"), *(F.col(c) if c in columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in used))
+    whole = [F.when(F.greatest(*(F.col(c).isNull() for c in columns), F.lit(False)), None).otherwise(masked(i, columns)) for i, columns in enumerate(tiers, 1)]
+    each = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(value).alias("_value"), F.explode(F.array(*whole)).alias("_group")).where("_group IS NOT NULL")
+    several = each.groupBy("_group").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where("_a != _b").select("_group")
+    own = best_tier(each.join(several, "_group").select("_key", "_group", F.col("_group.tier").alias("_tier")).distinct(), ["_key"], "_tier")
+    own = own.withColumn("_n", F.count("*").over(Window.partitionBy("_key")))
+    wanted = each.join(own.select("_group").distinct(), "_group", "left_semi")
+    values = wanted.groupBy("_group", "_value").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.collect_set(F.col("_key").cast("string")).alias("_keys"))
+    lists = values.groupBy("_group").agg(F.collect_list(F.struct("_value", "_a", "_b")).alias("_values"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_keys")))).alias("_members"))
+    others = F.transform(F.filter("_values", lambda v: v["_value"].isNotNull() & ((v["_a"] != F.col("_key")) | (v["_b"] != F.col("_key")))), lambda v: v["_value"])
+    found = own.join(lists, "_group").select("_key", "_tier", "_n", F.array_remove("_members", F.col("_key").cast("string")).alias("_members"), others.alias("_values"))
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    repeated = found.where("_n > 1").groupBy("_key", "_tier").agg(F.array_sort(flat("_members")).alias("_members"), flat("_values").alias("_values"))  # keys of several rows
+    n = F.size("_values").cast("long")
+    return found.where("_n = 1").select(*repeated.columns).unionByName(repeated).select(
+        F.col("_key").alias(key), F.col("_tier").alias("tier"), F.size("_members").cast("long").alias("n_members"), n.alias("n_values"),
+        F.when(n == 1, F.get("_values", F.lit(0))).alias("agreed"), F.array_join("_members", "|").alias("members"),
+    )
+
+
 def consensus(candidates: DataFrame, keys: list[str], value: str, member: str) -> DataFrame:
     """The value that all candidates of a key agree on, else null; with counts and an ordered list of members."""
     n = F.countDistinct(value)

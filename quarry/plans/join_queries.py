@@ -92,12 +92,9 @@ SELECT p_partkey, tier, count(DISTINCT other) AS n_members, count(DISTINCT value
   string_agg(DISTINCT CAST(other AS VARCHAR), '|' ORDER BY CAST(other AS VARCHAR)) AS members
 FROM c JOIN best USING (p_partkey, tier) GROUP BY ALL""")
 def q12_tier_ladder(t):
-    a = t.part.select("p_partkey", "p_name", "p_brand", "p_size", final_token(F.col("p_name")).alias("k"))
-    b = a.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("n2"), F.col("p_brand").alias("b2"), "p_size", "k").join(t.part.select(F.col("p_partkey").alias("other"), F.col("p_type").alias("value")), "other")
-    name, brand = F.col("p_name") == F.col("n2"), F.col("p_brand") == F.col("b2")
-    tier = F.when(name & brand, 1).when(brand, 2).when(name, 3).otherwise(4)
-    found = a.join(b, ["k", "p_size"]).where("p_partkey <> other").withColumn("tier", tier)
-    return R.consensus(R.best_tier(found, ["p_partkey"], "tier"), ["p_partkey", "tier"], "value", "other")
+    rows = t.part.select("p_partkey", "p_name", "p_brand", "p_size", "p_type", final_token(F.col("p_name")).alias("k"))
+    within = ["k", "p_size"]
+    return R.tier_groups(rows, "p_partkey", [[*within, "p_name", "p_brand"], [*within, "p_brand"], [*within, "p_name"], within], "p_type")
 
 
 @query("""SELECT e.event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'click' AND p.ts = m.mts) AS prior_click

@@ -140,6 +140,22 @@ def test_quality(spark):
         Q.assert_vector(Q.count_vector(a, {"n": F.count("*")}), {"n": 3})
 
 
+def test_tier_ladder(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    names, brands, types = ("a x", "b x", "x", "c y", "", None), ("B1", "B2", None), ("T1", "T2", "T3", None)
+    rows = [(i % 100, names[i * 7 % 11 % 6], brands[i * 5 % 13 % 3], types[i * 3 % 7 % 4], (1, 2, None)[i % 17 % 3]) for i in range(130)]  # keys of two rows, too
+    rows += [(200, "q z", "B1", "T1", 1), (201, "r z", "B2", "T1", 1), (202, "s z", None, None, 1), (200, "v w", "B1", "T9", 1), (203, "u w", "B3", "T2", 1), (200, "v w", "B1", "T8", 1), (None, "q z", "B1", "T7", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = queries()["q12_tier_ladder"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = c.execute(oracle_sql()["q12_tier_ladder"]).fetchall()
+    assert {r[1] for r in want} == {1, 2, 3, 4} and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_sources(spark, tmp_path):
     f = tmp_path / "a.csv"
     f.write_text('id,t\n1,""\n2,\n3,"two\nlines \\"q\\""\n4,"\\."\n')
