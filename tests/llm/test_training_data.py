@@ -600,6 +600,32 @@ def test_language_model(spark, docs, empty):
         assert all(r["base_score"] == 0 and r["n_known"] == 0 for r in language_model.score(docs, nothing, rare, scratch).collect())
 
 
+def test_language_model_fits_all_training_tokens(spark):
+    texts = [prose(i, 5 + i % 40) if i % 3 else " ".join(f"w{i * k % 50}" for k in range(1, 30)) for i in range(900)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    keep, scratch = ~language_model.held_out(F.col("doc_id")), c.Scratch(spark)
+    learnt = [[b"\n", *t.encode().translate(c.LOWER_TABLE).split(), b"\n"] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    assert len(learnt) > 700
+    counts = collections.Counter(w for t in learnt for w in t[1:])
+    both = collections.Counter(p for t in learnt for p in zip(t, t[1:]))
+    counted = list(both.items())
+    levels = language_model.level_of(np.array([[counts[a], n, counts[b]] for (a, b), n in counted], float)).T
+    m = {"tokens": sum(counts.values()), "words": len(counts)}
+    tokens = np.repeat(np.arange(len(counted)), [n for _, n in counted])  # one by one
+    pair, word = language_model._estimates(m, levels[:, tokens], 1)
+    want, first = np.full(language_model.MAX_LEVEL + 1, 0.1), levels[0, tokens]
+    for _ in range(30):
+        share = want[first] * pair / (want[first] * pair + (1 - want[first]) * word)
+        for k in range(len(want)):
+            want[k] = min(0.999, max(1e-6, (share[first == k].sum() + 0.1) / ((first == k).sum() + 1)))
+    for most in (1 << 30, 0):
+        model, rare = language_model.train(df, keep, scratch, most, bits_per_entry=512)
+        assert np.allclose(model["weights"], want, rtol=1e-9)
+        plain = sorted(map(tuple, language_model.score(df, model, rare, scratch).collect()))
+        at_once = sorted(map(tuple, language_model.train_and_score(df, keep, scratch, most, bits_per_entry=512).collect()))
+        assert len(plain) == 900 and np.allclose(np.array(plain, float), np.array(at_once, float), rtol=1e-12)
+
+
 def test_language_model_does_not_depend_on_the_cluster(spark):
     got, kept = [], spark.conf.get("spark.sql.shuffle.partitions")
     for n in ("4", "8", "64"):
