@@ -45,6 +45,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm import common as c
 
@@ -263,7 +264,8 @@ def _compare(idf):
     return run
 
 
-_START = "key long, node binary, root binary, light boolean, before0 float, before1 float, weight0 float, weight1 float, map array<bigint>"
+_START = "key long, node binary, root binary, place int, light boolean, before0 float, before1 float, weight0 float, weight1 float, map array<bigint>"
+EARLIER = 8  #: shingles before one, by which a pair is known to have met
 SLACK = 1e-4  #: of a weight, for the rounding of floats
 
 
@@ -281,7 +283,7 @@ def starts(h: np.ndarray, rarity: np.ndarray, kinds: tuple[np.ndarray, ...], lea
 def _starts(idf, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
-        names = ["key", "node", "root", "light", "before0", "before1", "weight0", "weight1", "map"]
+        names = ["key", "node", "root", "place", "light", "before0", "before1", "weight0", "weight1", "map"]
         for batch in batches:
             keys, light, numbers, maps = [], [], [], []
             for text in c.as_bytes(batch.column(2)):
@@ -295,17 +297,24 @@ def _starts(idf, least: float):
             if keys:
                 owner = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
                 folded = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * (FOLDED // 32)), pa.array(np.concatenate(maps)))
-                columns = [pa.array(np.concatenate(keys)), *(batch.column(k).take(owner) for k in (0, 1)), pa.array(np.concatenate(light)), *map(pa.array, np.concatenate(numbers, axis=1)), folded.take(owner)]
+                place = np.concatenate([np.arange(len(k), dtype=np.int32) for k in keys])
+                columns = [pa.array(np.concatenate(keys)), *(batch.column(k).take(owner) for k in (0, 1)), pa.array(place), pa.array(np.concatenate(light)), *map(pa.array, np.concatenate(numbers, axis=1)), folded.take(owner)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 def _meeting(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of different roots that share a shingle early enough for a similarity of least, by either kind of weights."""
-    own = [x for x in rows.columns if x != "key"]
+    """Pairs of different roots that share a shingle early enough for a similarity of least, by either kind of weights.
+
+    If a pair meets this at one shingle, it does at the first one it shares, so it is made there alone: not where both have one
+    and the same shingle among the EARLIER ones before (of those that several roots have).  Where more lie between two that a pair
+    shares, it is made again; it is never left out.
+    """
     spread = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
-    shared = rows.join(spread, "key")
+    before = Window.partitionBy("node").orderBy("place").rowsBetween(-EARLIER, -1)
+    shared = rows.join(spread, "key").withColumn("earlier", F.collect_list("key").over(before)).drop("place")
+    own = [x for x in shared.columns if x != "key"]
     a, b = (shared.select("key", *(F.col(x).alias(f"{side}_{x}") for x in own)) for side in ("a", "b"))
     apart = lambda start: F.aggregate(F.zip_with(*(F.slice(f"{s}_map", start, FOLDED // 64) for s in "ab"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     rare, others = apart(1), apart(FOLDED // 64 + 1)
@@ -313,7 +322,8 @@ def _meeting(rows: DataFrame, least: float) -> DataFrame:
     for k, differing in enumerate((rare * RARE + others, rare + others)):
         rest, both = F.least(*(F.col(f"{s}_weight{k}") - F.col(f"{s}_before{k}") for s in "ab")), F.col(f"a_weight{k}") + F.col(f"b_weight{k}")
         enough |= (rest >= both * (least / (1 + least) - SLACK)) & (differing <= both * ((1 - least) / (1 + least) + SLACK) + SLACK)
-    met = a.where("a_light").join(b, "key").where((F.col("a_root") != F.col("b_root")) & enough)
+    once = ~F.col("b_light") | (F.col("a_node") < F.col("b_node"))  # a pair that is light on both sides, from one of them
+    met = a.where("a_light").join(b, "key").where((F.col("a_root") != F.col("b_root")) & once & enough & ~F.arrays_overlap("a_earlier", "b_earlier"))
     return met.select(F.least("a_node", "b_node").alias("centre"), F.greatest("a_node", "b_node").alias("node")).distinct()
 
 

@@ -216,6 +216,21 @@ def test_samples_agree_as_often_as_texts_are_alike():
     assert abs((keys[0] == keys[1]).mean() - 270 / 330) < 0.16  # three standard deviations of 64 samples
 
 
+def test_pairs_meet_at_the_first_shared_shingle_alone(spark, monkeypatch):
+    words = [f"w{i}" for i in range(260)]
+    texts = {bytes([i]): (b"A" if i < 9 else b"B", " ".join(w if k not in (i * 13, (i > 8) * 250) else f"x{i}" for k, w in enumerate(words))) for i in range(18)}
+    df = spark.createDataFrame([(n, root, text) for n, (root, text) in texts.items()], "node binary, root binary, text string")
+    idf = spark.sparkContext.broadcast(near_dedup.Idf(np.ones((near_dedup.SKETCH_ROWS, near_dedup.SKETCH)), 10))
+    rows = df.mapInArrow(near_dedup._starts(idf, 0.8), near_dedup._START).localCheckpoint()
+    met = {tuple(map(bytes, r)) for r in near_dedup._meeting(rows, 0.8).collect()}
+    sets = {n: near_dedup.weighted(*c.shingle_hashes(*c.word_hashes([t.encode()]), near_dedup.WIDTH), None) for n, (_, t) in texts.items()}
+    alike = {(a, b) for a in texts for b in texts if a < b and texts[a][0] != texts[b][0] and near_dedup.similarity(sets[a][:2], sets[b][:2]) >= 0.8}
+    assert len(alike) > 10 and alike <= met and all(texts[a][0] != texts[b][0] for a, b in met)
+    monkeypatch.setattr(type(rows), "distinct", lambda self: self)
+    made = near_dedup._meeting(rows, 0.8).count()
+    assert made <= 1.5 * len(met)
+
+
 # 3
 
 
