@@ -85,24 +85,30 @@ def tier_groups(rows: DataFrame, key: str, tiers: list[list[str]], value: str) -
     those of every tier.
 
     A key's best tier is its first group that holds another key, and all other keys of that group are of this tier.  So each
-    group is listed once and a key takes its own name out of the list: no pair of keys is made.
+    group is listed once and a key takes its own name out of the list: no pair of keys is made.  Rows that agree on all columns
+    go together until groups are chosen; among several keys of such rows the first tier is the best.  Windows and sums do it
+    all: the exploded groups are many times what Spark's size checks see in the files, and a join may broadcast them.
     """
     used = list(dict.fromkeys(c for columns in tiers for c in columns))
     masked = lambda i, columns: F.struct(F.lit(i).alias("tier"), *(F.col(c) if c in columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in used))
     whole = [F.when(F.greatest(*(F.col(c).isNull() for c in columns), F.lit(False)), None).otherwise(masked(i, columns)) for i, columns in enumerate(tiers, 1)]
-    each = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(value).alias("_value"), F.explode(F.array(*whole)).alias("_group")).where("_group IS NOT NULL")
-    several = each.groupBy("_group").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where("_a != _b").select("_group")
-    own = best_tier(each.join(several, "_group").select("_key", "_group", F.col("_group.tier").alias("_tier")).distinct(), ["_key"], "_tier")
-    own = own.withColumn("_n", F.count("*").over(Window.partitionBy("_key")))
-    wanted = each.join(own.select("_group").distinct(), "_group", "left_semi")
-    values = wanted.groupBy("_group", "_value").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.collect_set(F.col("_key").cast("string")).alias("_keys"))
-    lists = values.groupBy("_group").agg(F.collect_list(F.struct("_value", "_a", "_b")).alias("_values"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_keys")))).alias("_members"))
-    others = F.transform(F.filter("_values", lambda v: v["_value"].isNotNull() & ((v["_a"] != F.col("_key")) | (v["_b"] != F.col("_key")))), lambda v: v["_value"])
-    found = own.join(lists, "_group").select("_key", "_tier", "_n", F.array_remove("_members", F.col("_key").cast("string")).alias("_members"), others.alias("_values"))
+    alike = rows.where(F.col(key).isNotNull() & F.coalesce(*whole).isNotNull()).select(F.struct(F.col(key).alias("_key"), F.col(value).alias("_value")).alias("_row"), *used).groupBy(*used).agg(F.min("_row._key").alias("_a"), F.max("_row._key").alias("_b"), F.collect_set("_row").alias("_rows"))
+    each = alike.select("_a", "_b", "_rows", F.coalesce(*whole)["tier"].alias("_first"), F.explode(F.array(*whole)).alias("_group")).where("_group IS NOT NULL")
+    group, of_key = Window.partitionBy("_group"), Window.partitionBy("_key")
+    several, asked = F.min("_a").over(group) != F.max("_b").over(group), F.bool_or((F.col("_a") == F.col("_b")) | (F.col("_group.tier") == F.col("_first"))).over(group)
+    held = each.withColumn("_held", several & asked).where("_held").select("_group", F.inline("_rows"))
+    own = held.withColumn("_own", F.col("_group.tier") == F.min("_group.tier").over(of_key)).withColumn("_n", F.count_if("_own").over(of_key))
+    values = own.repartition("_group").groupBy("_group", "_value").agg(
+        F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.collect_set(F.col("_key").cast("string")).alias("_keys"),
+        F.collect_list(F.when(F.col("_own") & (F.col("_n") == 1), F.col("_key"))).alias("_once"), F.collect_set(F.when(F.col("_own") & (F.col("_n") > 1), F.col("_key"))).alias("_more"),
+    )
     flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    repeated = found.where("_n > 1").groupBy("_key", "_tier").agg(F.array_sort(flat("_members")).alias("_members"), flat("_values").alias("_values"))  # keys of several rows
+    lists = values.groupBy("_group").agg(F.collect_list(F.struct("_value", "_a", "_b")).alias("_values"), F.sort_array(flat("_keys")).alias("_members"), F.flatten(F.collect_list("_once")).alias("_once"), flat("_more").alias("_more"))
+    others = F.transform(F.filter("_values", lambda v: v["_value"].isNotNull() & ((v["_a"] != F.col("_key")) | (v["_b"] != F.col("_key")))), lambda v: v["_value"])
+    found = lambda keys: lists.select("_group", "_values", "_members", F.explode(keys).alias("_key")).select("_key", F.col("_group.tier").alias("_tier"), F.array_remove("_members", F.col("_key").cast("string")).alias("_members"), others.alias("_values"))
+    repeated = found("_more").groupBy("_key", "_tier").agg(F.sort_array(flat("_members")).alias("_members"), flat("_values").alias("_values"))  # keys of several rows
     n = F.size("_values").cast("long")
-    return found.where("_n = 1").select(*repeated.columns).unionByName(repeated).select(
+    return found("_once").unionByName(repeated).select(
         F.col("_key").alias(key), F.col("_tier").alias("tier"), F.size("_members").cast("long").alias("n_members"), n.alias("n_values"),
         F.when(n == 1, F.get("_values", F.lit(0))).alias("agreed"), F.array_join("_members", "|").alias("members"),
     )

@@ -156,6 +156,32 @@ def test_tier_ladder(spark, tmp_path):
     assert {r[1] for r in want} == {1, 2, 3, 4} and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_tier_ladder_broadcasts_nothing(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    spark.range(2000).selectExpr("id p_partkey", "concat('n', id % 7, ' t', id % 3) p_name", "concat('B', id % 5) p_brand", "concat('T', id % 4) p_type", "cast(id % 2 as int) p_size").write.parquet(str(tmp_path / "part.parquet"))
+    got = queries()["q12_tier_ladder"](spark, str(tmp_path))  # small files, and many times their size once the groups are exploded
+    assert got.count() == 2000 and "Broadcast" not in got._jdf.queryExecution().toString()
+
+
+def test_tier_groups(spark):
+    tiers = [["k", "a"], ["k", "b"], ["k", "c"], ["k"]]  # no tier has all columns
+    rows = [(None if i % 29 == 0 else i % 70, i * 7 % 3 if i % 8 else None, i * 5 % 11 if i % 5 else None, i * 3 % 13 if i % 7 else None, i % 9 % 6 if i % 31 else None, "vwxyz"[i * 11 % 17 % 5] if i % 6 else None) for i in range(90)] + [(500 + i, 10 + i // 5, None, i, None, "v") for i in range(12)] + [(900, 99, 1, 1, 1, "v"), (900, 99, 2, 1, 1, "w")]
+    df = spark.createDataFrame(rows, "p long, k int, a int, b int, c int, v string")
+    best, same = {}, lambda x, y, columns: all(x["pkabcv".index(c)] == y["pkabcv".index(c)] is not None for c in columns)
+    for x in rows:
+        for y in rows:
+            if None not in (x[0], y[0]) and x[0] != y[0] and same(x, y, ["k"]):
+                best.setdefault(x[0], {}).setdefault(next(i for i, columns in enumerate(tiers, 1) if same(x, y, columns)), []).append(y)
+    want = set()
+    for p, found in best.items():
+        others = found[min(found)]
+        members, values = {str(y[0]) for y in others}, {y[5] for y in others} - {None}
+        want.add((p, min(found), len(members), len(values), min(values) if len(values) == 1 else None, "|".join(sorted(members))))
+    got = R.tier_groups(df, "p", tiers, "v").collect()
+    assert {r[1] for r in want} == {1, 2, 3, 4} and len(got) == len(want) and set(map(tuple, got)) == want
+
+
 def test_sources(spark, tmp_path):
     f = tmp_path / "a.csv"
     f.write_text('id,t\n1,""\n2,\n3,"two\nlines \\"q\\""\n4,"\\."\n')
